@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import simhash
+from gleaner.llm import repair, simhash, tokencount, warc
+from gleaner.llm.common import fresh_dir
+from gleaner.llm.tokenizing import vocabulary
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +19,34 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_components(_table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), fresh_dir(spark, "token-counts"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_packages(warc.write_packages(_table(spark, sf_dir, "pages"), fresh_dir(spark, "packages")))
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT sha1(html) AS payload_digest, max(page_id) AS newest FROM p WHERE octet_length(encode(html)) >= 1000 GROUP BY 1)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN newest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN newest <> page_id THEN newest END AS refers_to
+FROM p LEFT JOIN g ON sha1(p.html) = g.payload_digest
+"""
+
+
+def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return repair.read_shards(repair.write_shards(docs, vocabulary("byte_bpe_50k.json"), fresh_dir(spark, "token-ids")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
+    "op7_token_counts": op7_token_counts,
+    "op8_warc": op8_warc,
+    "op10_repair": op10_repair,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_warc": OP8_SQL}
