@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import repair, simhash, tokencount, warc
+from gleaner.llm import repair, simhash, tokencount, toxicity, warc
 from gleaner.llm.common import fresh_dir
 from gleaner.llm.tokenizing import vocabulary
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_components(_table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op5_simhash": op5_simhash,
     "op7_token_counts": op7_token_counts,
     "op8_warc": op8_warc,
