@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import repair, simhash, tokencount, toxicity, warc
+from gleaner.llm import mixing, pii, repair, simhash, tokencount, toxicity, urlfilter, warc
 from gleaner.llm.common import fresh_dir
 from gleaner.llm.tokenizing import vocabulary
 
@@ -19,10 +19,22 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_table(spark, sf_dir, "pages"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_components(_table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), fresh_dir(spark, "token-counts"))
 
@@ -48,7 +60,10 @@ def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_mixing": op3_mixing,
+    "op4_url_filter": op4_url_filter,
     "op5_simhash": op5_simhash,
+    "op6_pii": op6_pii,
     "op7_token_counts": op7_token_counts,
     "op8_warc": op8_warc,
     "op10_repair": op10_repair,
