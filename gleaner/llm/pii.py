@@ -128,8 +128,10 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", kinds: tuple
 
 
 def _text(names: tuple[str, ...]) -> Column:
-    parts = [F.transform(n, lambda x, n=n: F.concat_ws(":", F.lit(n), x["start"].cast("string"), x["end"].cast("string"))) for n in names]
-    return F.array_join(F.concat(*parts), ",")
+    def written(name: str) -> Column:
+        return F.transform(name, lambda x: F.concat_ws(":", F.lit(name), x["start"].cast("string"), x["end"].cast("string")))
+
+    return F.array_join(F.concat(*map(written, names)), ",")
 
 
 def digest(docs: DataFrame) -> DataFrame:
