@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import mixing, pii, repair, simhash, tokencount, toxicity, urlfilter, warc
+from gleaner.llm import mixing, pii, repair, simhash, tokencount, toxicity, urlfilter, warc, webp
 from gleaner.llm.common import fresh_dir
 from gleaner.llm.tokenizing import vocabulary
 
@@ -53,6 +53,10 @@ FROM p LEFT JOIN g ON sha1(p.html) = g.payload_digest
 """
 
 
+def op9_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.features(webp.to_media(_table(spark, sf_dir, "documents")))
+
+
 def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return repair.read_shards(repair.write_shards(docs, vocabulary("byte_bpe_50k.json"), fresh_dir(spark, "token-ids")))
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii": op6_pii,
     "op7_token_counts": op7_token_counts,
     "op8_warc": op8_warc,
+    "op9_webp": op9_webp,
     "op10_repair": op10_repair,
 }
 
