@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import mixing, pii, repair, simhash, tokencount, toxicity, urlfilter, warc, webp
+from gleaner.llm import decontaminate, mixing, pii, repair, simhash, tokencount, toxicity, urlfilter, warc, webp
 from gleaner.llm.common import fresh_dir
 from gleaner.llm.tokenizing import vocabulary
 
@@ -19,6 +19,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_decontamination": op2_decontamination,
     "op3_mixing": op3_mixing,
     "op4_url_filter": op4_url_filter,
     "op5_simhash": op5_simhash,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import as_bytes, checkpoint, in_pieces, signed, whole_text
 from gleaner.llm.components import connected_components
-from gleaner.llm.hamming import RADIUS, hamming_links
+from gleaner.llm.hamming import RADIUS, hamming_links, merge
 
 SEED = 42
 WORDS = 3
@@ -82,3 +82,157 @@ def fingerprint_components(docs: DataFrame, words: int = WORDS, radius: int = RA
     named = checkpoint(named.join(smallest, "class").select("print", "component_id"))
     out = prints.join(named, "print")
     return out.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# Near-duplicates at a Jaccard similarity
+#
+# At five words and a similarity of 0.8 two texts' prints differ in 6 to 13 of 64 bits, as do many pairs that are
+# less alike.  So prints within the index's radius are only some of the candidates; the others share a band of
+# minimum hashes of their shingles.  Candidates are gathered in classes and every link is decided by the exact
+# similarity of whole shingle sets.
+
+STAGE_WORDS, SIMILARITY = 5, 0.8
+BANDS, ROWS = 12, 4
+#: Ids up to this number are broadcast (16 bytes each and their table); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+_MIX = np.random.default_rng(SEED).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+
+
+def bands(h: np.ndarray) -> np.ndarray:
+    """A key for each band, from the minima of the distinct shingle hashes under several hash functions."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(h), 4096):
+            x = h[at : at + 4096, None] * _MIX[0] + _MIX[1]
+            least = np.minimum(least, (x >> np.uint64(20)).min(axis=0))
+        keys = least.reshape(BANDS, ROWS)
+        out = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for r in range(ROWS):
+            out = (out ^ keys[:, r]) * np.uint64(0xD6E8FEB86659FD93)
+            out ^= out >> np.uint64(32)
+    return signed(out)
+
+
+def _sketches(words: int):
+    def run(batches):
+        for batch in in_pieces(batches):
+            nodes, prints, keys = [], [], []
+            for text in as_bytes(batch.column(1)):
+                h = hashes(text, words)
+                nodes.append(xxhash.xxh64_intdigest(b" ".join(text.lower().split()), 1))
+                prints.append(simhash(h))
+                keys.append(bands(np.unique(h)) if len(h) else np.zeros(0, np.int64))
+            ends = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
+            ints = [pa.array(signed(np.array(x, np.uint64))) for x in (nodes, prints)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *ints, listed], names=["doc_id", "node", "print", "bands"])
+
+    return run
+
+
+def _sets(words: int, similarity: float):
+    """Shingle sets, each for the range of sizes that its own falls in and for the next smaller one: two sets can
+    only be alike enough if their sizes are in one range or in neighbouring ones."""
+    ratio = -np.log(similarity)
+
+    def run(batches):
+        for batch in in_pieces(batches, 500):
+            rows = []
+            for group, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
+                h = np.unique(hashes(text, words))
+                k = int(np.log(max(1, len(h))) / ratio + 1e-9)
+                rows += [(group, r, node, h.tobytes()) for r in (k, k - 1)]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["group", "sizes", "node", "shingles"])
+
+    return run
+
+
+def similar_pairs(sets: list[np.ndarray], similarity: float):
+    """(i, j) with j < i of all pairs of shingle sets at the similarity or more, as arrays for one i after another.
+
+    The sets' common elements are counted through the list of holders of each element, so only pairs that have
+    some in common cost anything.
+    """
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    element = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(owner) else owner
+    order = np.argsort(element, kind="stable")
+    holders, starts = owner[order], np.searchsorted(element[order], np.arange(element.max() + 2 if len(element) else 1))
+    ends = np.cumsum(sizes)
+    for i in range(1, len(sets)):
+        mine = element[ends[i] - sizes[i] : ends[i]]
+        a, n = starts[mine], starts[mine + 1] - starts[mine]
+        at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        common = np.bincount(holders[at], minlength=len(sets))[:i]
+        j = np.flatnonzero(common >= similarity * (sizes[:i] + sizes[i] - common) - 1e-9)
+        j = j[common[j] > 0]
+        if len(j):
+            yield np.full(len(j), i), j
+
+
+def _verify(similarity: float):
+    """For mapInArrow over sets sorted by (group, sizes): a spanning forest of the links of each."""
+
+    def links(rows):
+        if len(rows) < 2:
+            return
+        ids, label = np.array([r[0] for r in rows]), np.arange(len(rows))
+        for i, j in similar_pairs([np.frombuffer(r[1], np.uint64) for r in rows], similarity):
+            label = merge(label, i, j)
+        moved = label != np.arange(len(label))
+        if moved.any():
+            yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["a", "b"])
+
+    def run(batches):
+        key, rows = None, []
+        for batch in batches:
+            for group, sizes, node, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (group, sizes) != key:
+                    yield from links(rows)
+                    key, rows = (group, sizes), []
+                rows.append((node, shingles))
+        yield from links(rows)
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, words: int = STAGE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, group_id) of every row: the smallest doc_id reachable over pairs whose word shingles have a Jaccard
+    similarity of ``similarity`` or more, its own where there are none.
+
+    Texts equal but for case and white space are one node from the start.  Texts without words are alike.  A null
+    doc_id is grouped but is no group's id while another is there.  Groups are handled by ranges of set sizes, so
+    a task holds the sets of one range of one class of candidates.
+    """
+    narrow = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
+    sketch = checkpoint(narrow.mapInArrow(_sketches(words), "doc_id bigint, node bigint, print bigint, bands array<bigint>"))
+    nodes = checkpoint(sketch.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("print").alias("print"), F.first("bands").alias("bands")))
+    banded = nodes.select("node", F.explode("bands").alias("key"))
+    stars = banded.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top")
+    by_band = banded.join(stars, "key").select(F.col("node").alias("a"), "b")
+    by_print = nodes.groupBy("print").agg(F.min("node").alias("id"))
+    same = nodes.join(by_print, "print").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    candidates = connected_components(by_band.unionByName(same).unionByName(hamming_links(by_print)))
+    members = nodes.select("node", "first").join(candidates, "node").where("first is not null").select("first", "node", "component")
+    members = checkpoint(members)
+    few = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
+    texts = narrow.join(few, narrow["doc_id"] == few["first"]).select("component", "node", "text")
+    sets = texts.mapInArrow(_sets(words, similarity), "group bigint, sizes int, node bigint, shingles binary")
+    links = sets.repartition("group", "sizes").sortWithinPartitions("group", "sizes", "node").mapInArrow(_verify(similarity), "a bigint, b bigint")
+    classes = connected_components(links)
+    named = nodes.select("node", "first").join(classes, "node", "left").select("node", "first", F.coalesce("component", "node").alias("class"))
+    smallest = named.groupBy("class").agg(F.min("first").alias("group_id"))
+    named = checkpoint(named.join(smallest, "class").select("node", "group_id"))
+    return sketch.select("doc_id", "node").join(named, "node").select("doc_id", "group_id")
+
+
+def without_near_duplicates(docs: DataFrame, words: int = STAGE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs``, all their columns, but those whose group has a smaller doc_id.
+
+    Rows of one doc_id stay or go together; those without doc_id stay.
+    """
+    gone = checkpoint(near_duplicates(docs, words, similarity).where("group_id <> doc_id").select(F.col("doc_id").alias("gone_")).distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, docs["doc_id"] == gone["gone_"], "left_anti")
