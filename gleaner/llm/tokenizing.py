@@ -16,8 +16,9 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-#: Pieces that a worker keeps; at about 250 bytes each this stays at 250 MB.
-MOST_PIECES = 1_000_000
+#: Pieces that a worker keeps, in two generations: what the last generation had and the present one uses moves on.
+#: At about 250 bytes each this stays near 100 MB.
+MOST_PIECES = 400_000
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _LOOSE_LINE = re.compile(r"^\n|\n$|\s\n|\n\s")
 _ODD = re.compile(r"\s|<\|")
@@ -68,6 +69,24 @@ def _encode_words(path: str, words: list[str], before: str, joint: str, mark: in
     return [w for ids in ids_of(path, joined) for w in _between(ids, mark)]
 
 
+class Kept:
+    """What is known of pieces, in two generations of bounded size."""
+
+    def __init__(self):
+        self.now, self.old = {}, {}
+
+    def turn(self) -> None:
+        if len(self.now) > MOST_PIECES // 2:
+            self.now, self.old = {}, self.now
+
+    def missing(self, pieces: set) -> set:
+        """The pieces that aren't known; those of the old generation move on."""
+        unknown = pieces.difference(self.now)
+        again = unknown.intersection(self.old) if self.old else set()
+        self.now.update((p, self.old[p]) for p in again)
+        return unknown - again
+
+
 class PieceIds:
     """Ids of whole texts under a byte-level BPE that takes at most one space in front of a piece.
 
@@ -77,25 +96,24 @@ class PieceIds:
 
     def __init__(self, path: str):
         self.path = path
-        self.first: dict[str, bytes] = {}  # pieces without a space in front
-        self.later: dict[str, bytes] = {}  # pieces with one
+        self.first = Kept()  # ids of pieces without a space in front
+        self.later = Kept()  # and of those with one
         self.marks = {c: self._ids([c])[0] for c in ".,\n"}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(i, dtype="<u4").tobytes() for i in ids_of(self.path, texts)]
 
-    def _learn_words(self, known: dict[str, bytes], words: set[str], before: str) -> None:
+    def _learn_words(self, known: Kept, words: set[str], before: str) -> None:
         stems = {w[:-1] if _ends_a_word(w) else w for w in words}
-        new = [w for w in stems if w not in known]
+        new = known.missing(stems)
         plain = [w for w in new if not _ODD.search(w)]
         odd = [w for w in new if _ODD.search(w)]
         if plain:
             mark = int(np.frombuffer(self.marks["\n"], "<u4")[0])
-            # without a space in front, a word would take up the line feed: those go one by one
-            found = [x.tobytes() for x in _encode_words(self.path, plain, before, "\n", mark)] if before else self._ids(plain)
-            known.update(zip(plain, found, strict=True))
-        known.update(zip(odd, self._ids([before + w for w in odd]), strict=True))
-        known.update({w: known[w[:-1]] + self.marks[w[-1]] for w in words if w not in known})
+            found = [x.tobytes() for x in _encode_words(self.path, plain, before, "\n", mark)]
+            known.now.update(zip(plain, found, strict=True))
+        known.now.update(zip(odd, self._ids([before + w for w in odd]), strict=True))
+        known.now.update({w: known.now[w[:-1]] + self.marks[w[-1]] for w in words if w not in known.now})
 
     def _learn(self, later: set[str], first: set[str]) -> None:
         lines = {p: p.split("\n") for p in later | first if "\n" in p and not _LOOSE_LINE.search(p)}
@@ -105,35 +123,23 @@ class PieceIds:
         self._learn_words(self.first, first_words, "")
         feed = self.marks["\n"]
         for known, pieces in ((self.later, later), (self.first, first)):
-            known.update({p: feed.join([known[lines[p][0]], *(self.first[w] for w in lines[p][1:])]) for p in pieces if p in lines})
+            known.now.update({p: feed.join([known.now[lines[p][0]], *(self.first.now[w] for w in lines[p][1:])]) for p in pieces if p in lines})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.later) + len(self.first) > MOST_PIECES:
-            self.later.clear()
-            self.first.clear()
-        get = self.later.get
-        cut, ids, later, first = [], [], set(), set()
-        for text in texts:
-            parts = text.split(" ")
-            head = parts[0]
-            found = list(map(get, parts))
-            unknown = {p for p, x in zip(parts[1:], found[1:], strict=True) if x is None} if None in found else set()
-            if len(parts) > 1 and (not head or head[-1].isspace() or any(not p or p[0].isspace() or p[-1].isspace() for p in unknown)):
-                parts = _SAFE_SPACE.split(text)
-                head = parts[0]
-                found = list(map(get, parts))
-                unknown = {p for p, x in zip(parts[1:], found[1:], strict=True) if x is None}
-            later |= unknown
-            first.add(head)
-            cut.append(parts)
-            ids.append(found)
-        self._learn(later, {p for p in first if p not in self.first})
-        out = []
-        for parts, found in zip(cut, ids, strict=True):
-            found[0] = self.first[parts[0]]
-            out.append(b"".join([self.later[p] if x is None else x for p, x in zip(parts, found, strict=True)] if None in found else found))
-        return out
+        self.later.turn()
+        self.first.turn()
+        cut = [text.split(" ") for text in texts]
+        unknown = self.later.missing(set().union(*[p[1:] for p in cut]))
+        loose = {p for p in unknown if not p or p[0].isspace() or p[-1].isspace()}
+        unknown -= loose
+        for k, parts in enumerate(cut):
+            if len(parts) > 1 and (not parts[0] or parts[0][-1].isspace() or not loose.isdisjoint(parts[1:])):
+                cut[k] = _SAFE_SPACE.split(texts[k])
+                unknown |= self.later.missing(set(cut[k][1:]))
+        self._learn(unknown, self.first.missing({p[0] for p in cut}))
+        later, first = self.later.now.__getitem__, self.first.now.__getitem__
+        return [first(p[0]) + b"".join(map(later, p[1:])) for p in cut]
 
 
 class PieceCounts:
@@ -144,7 +150,7 @@ class PieceCounts:
     """
 
     def __init__(self, path: str):
-        self.path, self.known = path, {}
+        self.path, self.known = path, Kept()
         self.mark = ids_of(path, ["|"])[0][0]
 
     def _learn(self, missing: set[bytes]) -> None:
@@ -156,22 +162,20 @@ class PieceCounts:
                 forms[p] = (s[:-1].encode(), 1) if _ends_a_word(s) else (s.encode(), 0)
             else:
                 forms[p] = (p, 0)
-        new = [s for s in {s for s, _ in forms.values()} if s not in known]
+        new = known.missing({s for s, _ in forms.values()})
         plain = [s for s in new if s.isascii() and b"|" not in s or s.decode().isalpha()]
-        odd = list(set(new).difference(plain))
+        odd = list(new.difference(plain))
         found = _encode_words(self.path, [s.decode() for s in plain], "", " | ", self.mark) if plain else []
-        known.update(zip(plain, map(len, found), strict=True))
-        known.update(zip(odd, map(len, ids_of(self.path, [s.decode() for s in odd])), strict=True))
-        known.update({p: known[s] + stop for p, (s, stop) in forms.items()})
+        known.now.update(zip(plain, map(len, found), strict=True))
+        known.now.update(zip(odd, map(len, ids_of(self.path, [s.decode() for s in odd])), strict=True))
+        known.now.update({p: known.now[s] + stop for p, (s, stop) in forms.items()})
 
     def count(self, texts: list[bytes]) -> list[int]:
-        if len(self.known) > MOST_PIECES:
-            self.known.clear()
-        get = self.known.get
+        self.known.turn()
         cut = [t.split() for t in texts]
-        counts = [list(map(get, parts)) for parts in cut]
-        self._learn({p for parts, found in zip(cut, counts, strict=True) if None in found for p, n in zip(parts, found, strict=True) if n is None})
-        return [sum(found) if None not in found else sum([self.known[p] for p in parts]) for parts, found in zip(cut, counts, strict=True)]
+        self._learn(self.known.missing(set().union(*cut)))
+        known = self.known.now.__getitem__
+        return [sum(map(known, parts)) for parts in cut]
 
 
 @lru_cache(maxsize=2)

@@ -38,7 +38,8 @@ FIT_ROWS = 50_000
 BROADCAST_LABELS = 1_000_000
 FOLDS = 5
 HELD_OUT, FITTING = 0, 4
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 150_000
+_WORDS_AT_ONCE = 20_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -119,8 +120,9 @@ class Model:
         if len(self.known) > _WORDS_KEPT:
             self.known.clear()
         new = list({w for ws in found for w in ws if w not in self.known})
-        if new:
-            self.known.update(zip(new, self.word_ratios(new).tolist(), strict=True))
+        for at in range(0, len(new), _WORDS_AT_ONCE):
+            part = new[at : at + _WORDS_AT_ONCE]
+            self.known.update(zip(part, self.word_ratios(part).tolist(), strict=True))
         get, out = self.known.__getitem__, np.zeros((len(texts), 4))
         for k, ws in enumerate(found):
             if ws:
