@@ -33,7 +33,7 @@ LEAST_ANSWER = 0.75
 MOST_ITEMS = 20_000
 _WORD = re.compile(r"\w+")
 _ANSWER = re.compile(r"(?is)\banswer\s*:\s*(.+)$|\?\s+([^?]+)$")
-_WORDS_KEPT = 500_000
+_WORDS_KEPT = 300_000
 
 
 def words_of(text: str) -> list[str]:
@@ -54,13 +54,8 @@ class Features:
         known = self.known
         if len(known) > _WORDS_KEPT:
             known.clear()
-        found = list(map(known.get, words))
-        if None in found:
-            for w, f in zip(words, found, strict=True):
-                if f is None and w not in known:
-                    known[w] = feature(w)
-            found = [known[w] for w in words]
-        return np.array(found, dtype=np.int64)
+        known.update((w, feature(w)) for w in set(words).difference(known))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
 def _frequency_rows(counts: np.ndarray) -> pa.RecordBatch:
@@ -72,7 +67,7 @@ def _frequencies(batches):
     features, counts = Features(), np.zeros(FEATURES, np.int64)
     for batch in in_pieces(batches, 500):
         for text in batch.column(0).to_pylist():
-            counts[np.unique(features.of(words_of(text)))] += 1
+            counts[np.unique(features.of(list(set(words_of(text)))))] += 1
     yield _frequency_rows(counts)
 
 
@@ -219,9 +214,10 @@ class Matcher:
             sums[block[first]] = np.add.reduceat(self.basis[rows[at]] * weight[at, None], first, axis=0)
         if len(starts) > 1:
             sums, norms = sums[:-1] + sums[1:], norms[:-1] + norms[1:]
-        cosine = sums @ self.places.T / np.sqrt(norms)[:, None].astype(np.float32)
-        p, q = np.nonzero(cosine >= self.near)
-        return list(zip(self.owners[q].tolist(), (p * STEP).tolist(), cosine[p, q].tolist(), strict=True))
+        lengths = np.sqrt(norms).astype(np.float32)
+        product = sums @ self.places.T
+        p, q = np.nonzero(product >= self.near * lengths[:, None])
+        return list(zip(self.owners[q].tolist(), (p * STEP).tolist(), (product[p, q] / lengths[p]).tolist(), strict=True))
 
     def check(self, words: list[str], item: int, start: int) -> tuple[float, float]:
         """The best (share of the item, share of its answer) in the windows about a passage."""
