@@ -31,6 +31,23 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages"))
 
 
+def _url_sql() -> str:
+    rules, terms = urlfilter.Rules(), urlfilter.Vocabulary()
+    values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in rules.rows)
+    hits = lambda ts: f"len(list_filter([{', '.join(repr(t) for t in ts)}], lambda term: regexp_matches(low, '(^|[^a-z0-9])' || term || '($|[^a-z0-9])')))"
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH r(rule_host, rule_path, ruled) AS (VALUES {values}),
+u AS (SELECT page_id, {lower.format("coalesce(url, '')")} AS low, coalesce({lower.format("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")}, '') AS host,
+      coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+c AS (SELECT page_id, host, path, {hits(terms.strict)} AS n_strict, {hits(terms.soft)} AS n_soft FROM u),
+b AS (SELECT page_id, max_by(rule_host || rule_path, length(rule_host || rule_path)) AS rule, max_by(ruled, length(rule_host || rule_path)) AS ruled
+      FROM c, r WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY 1)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN n_strict >= 1 OR n_soft >= {terms.least_soft} THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft
+FROM c LEFT JOIN b USING (page_id)
+"""
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_components(_table(spark, sf_dir, "documents"))
 
@@ -79,4 +96,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_repair": op10_repair,
 }
 
-ORACLES: dict[str, str] = {"op8_warc": OP8_SQL}
+ORACLES: dict[str, str] = {"op4_url_filter": _url_sql(), "op8_warc": OP8_SQL}

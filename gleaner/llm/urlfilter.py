@@ -93,4 +93,4 @@ def judge(pages: DataFrame, rules: Rules | None = None, vocabulary: Vocabulary |
         fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
         rule, ruled = F.when(fits, host + path).otherwise(rule), F.when(fits, verdict).otherwise(ruled)
     own = F.when((F.col("c.n_strict") >= 1) | (F.col("c.n_soft") >= vocabulary.least_soft), "block").otherwise("allow")
-    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(ruled, own).alias("verdict"), F.col("c.n_strict").alias("n_strict"), F.col("c.n_soft").alias("n_soft"))
+    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(ruled, own).alias("verdict"), F.col("c.n_strict").cast("long").alias("n_strict"), F.col("c.n_soft").cast("long").alias("n_soft"))
