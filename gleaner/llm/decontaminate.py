@@ -7,11 +7,16 @@ the parts by feature.  All passages of all documents are projected and compared
 is near goes to an exact check in the same place: the longest common subsequence of words within a window little
 longer than the item, and, where an item has an answer, whether the window has it too.
 
+A space of ``RANK`` dimensions holds the passages of many items only in part, so a low cosine rules nothing out.
+Windows that share as many words with an item as its subsequence needs are therefore checked too, whatever their
+cosine: a longer subsequence than that has no window without.
+
 The benchmark is taken ``MOST_ITEMS`` items at a time, which bounds what is broadcast; documents are only read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from dataclasses import dataclass, field
@@ -30,6 +35,8 @@ RANK, SPARE, PASSES, SEED = 192, 16, 3, 11
 NEAR = 0.4
 LEAST_LCS = 0.75
 LEAST_ANSWER = 0.75
+#: Words of a text whose shared words are counted at once; a window that begins among them is counted whole.
+WORDS_AT_ONCE = 1024
 MOST_ITEMS = 20_000
 _WORD = re.compile(r"\w+")
 _ANSWER = re.compile(r"(?is)\banswer\s*:\s*(.+)$|\?\s+([^?]+)$")
@@ -197,11 +204,25 @@ class Matcher:
                     places.append(z / np.linalg.norm(z))
         self.owners = np.array(owners, np.int64)
         self.places = np.array(places, np.float32).reshape(len(owners), self.basis.shape[1])
-
-    def nearest(self, f: np.ndarray) -> list[tuple[int, int, float]]:
-        """(item, first word, cosine) of the passages near an item, given the features of a text's words."""
-        if not len(f) or not len(self.owners):
-            return []
+        # each feature's items, and how often an item has it
+        counted = [np.unique(self.row[self.features.of(w)], return_counts=True) for w in self.words]
+        self.item_rows = [r for r, _ in counted]
+        rows = np.concatenate([*self.item_rows, np.zeros(0, np.int32)])
+        order = np.argsort(rows, kind="stable")
+        self.holders = np.repeat(np.arange(len(counted)), [len(r) for r, _ in counted])[order]
+        self.held = np.concatenate([*(n for _, n in counted), np.zeros(0, np.int64)])[order]
+        self.starts = np.searchsorted(rows[order], np.arange(len(self.used) + 1))
+        self.needs = np.array([max(1, math.ceil(self.least * len(w) - 1e-9)) for w in self.words], np.int64)
+        self.widest = max((self.wide(len(w)) for w in self.words), default=0)
+        self.mark = np.zeros(len(self.used) + 1, bool)
+
+    @staticmethod
+    def wide(n: int) -> int:
+        """Words of a window for an item of n words."""
+        return n + max(4, n // 4)
+
+    def project(self, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in the latent space, full lengths) of a text's passages, given the features of its words."""
         starts = np.arange(0, len(f), STEP)
         weight = self.idf[f]
         norms = np.add.reduceat(weight.astype(np.float64) ** 2, starts)
@@ -214,15 +235,39 @@ class Matcher:
             sums[block[first]] = np.add.reduceat(self.basis[rows[at]] * weight[at, None], first, axis=0)
         if len(starts) > 1:
             sums, norms = sums[:-1] + sums[1:], norms[:-1] + norms[1:]
-        lengths = np.sqrt(norms).astype(np.float32)
+        return sums, np.sqrt(norms).astype(np.float32)
+
+    def nearest(self, sums: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int, float]]:
+        """(item, first word, cosine) of the passages near an item."""
         product = sums @ self.places.T
         p, q = np.nonzero(product >= self.near * lengths[:, None])
         return list(zip(self.owners[q].tolist(), (p * STEP).tolist(), (product[p, q] / lengths[p]).tolist(), strict=True))
 
+    def sharing(self, f: np.ndarray):
+        """(item, first words) where windows share enough words with an item for its subsequence; none is left out.
+
+        A window of an item's width is among them, or begins within a passage's length after one that is.
+        """
+        rows = self.row[f]
+        for at in range(0, len(rows), WORDS_AT_ONCE):
+            part = rows[at : at + WORDS_AT_ONCE + self.widest]
+            seen, n = np.unique(part[part >= 0], return_counts=True)
+            first, many = self.starts[seen], self.starts[seen + 1] - self.starts[seen]
+            k = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            shared = np.bincount(self.holders[k], np.minimum(self.held[k], np.repeat(n, many)), len(self.needs))
+            for item in np.flatnonzero(shared >= self.needs).tolist():
+                self.mark[self.item_rows[item]] = True
+                sums = np.r_[0, np.cumsum(self.mark[part])]
+                self.mark[self.item_rows[item]] = False
+                a = np.arange(min(len(part), WORDS_AT_ONCE))
+                a = a[sums[np.minimum(a + self.wide(len(self.words[item])), len(part))] - sums[a] >= self.needs[item]]
+                if len(a):
+                    yield item, (at + a[np.r_[True, np.diff(a // (2 * STEP)) > 0]]).tolist()
+
     def check(self, words: list[str], item: int, start: int) -> tuple[float, float]:
         """The best (share of the item, share of its answer) in the windows about a passage."""
         mine, answer = self.words[item], self.answers[item]
-        wide = len(mine) + max(4, len(mine) // 4)
+        wide = self.wide(len(mine))
         low, high = max(0, start - wide), min(len(words), start + 2 * STEP + wide)
         common, best, spare = self.sets[item], (0.0, 0.0), (1 - self.least) * len(mine)
         if len(common.difference(words[low:high])) > spare:  # each costs a word of the subsequence
@@ -239,7 +284,11 @@ class Matcher:
     def match(self, text: str) -> list[tuple[int, float, float]]:
         """(item id, cosine, share of the item) for every item that the text holds."""
         words, found = words_of(text), {}
-        for item, start, cosine in self.nearest(self.features.of(words)):
+        if not words or not self.ids:
+            return []
+        f = self.features.of(words)
+        sums, lengths = self.project(f)
+        for item, start, cosine in self.nearest(sums, lengths):
             if item in found:
                 if found[item][0] < cosine:
                     found[item] = cosine, found[item][1]
@@ -247,6 +296,13 @@ class Matcher:
             share, answered = self.check(words, item, start)
             if share >= self.least and answered >= LEAST_ANSWER:
                 found[item] = cosine, share
+        for item, starts in self.sharing(f):
+            for start in starts if item not in found else ():
+                share, answered = self.check(words, item, start)
+                if share >= self.least and answered >= LEAST_ANSWER:
+                    product = sums @ self.places[self.owners == item].T
+                    found[item] = float((product / lengths[:, None]).max(initial=0.0)), share
+                    break
         return [(self.ids[k], c, s) for k, (c, s) in sorted(found.items())]
 
 

@@ -103,6 +103,20 @@ def test_leaks(spark, docs):
     assert decontaminate.leaks(docs, bench).count() == 0 and decontaminate.without_leaks(docs, bench.limit(0)).columns == docs.columns
 
 
+def test_leaks_of_many_items(spark):
+    rng = np.random.default_rng(15)
+    items = [[f"q{k}" for k in rng.integers(0, 20_000, n)] for n in rng.integers(5, 60, 2500)]
+    noise = lambda n: [f"q{k}" for k in rng.integers(0, 20_000, n)]
+    rows, want = [(0, " ".join(noise(3000)))], set()
+    for d, k in enumerate(rng.choice(2500, 300, replace=False).tolist(), 1):
+        changed = [w if d % 2 or (j + 1) % 6 else "other" for j, w in enumerate(items[k])]
+        rows.append((d, " ".join(noise(int(rng.integers(0, 1100))) + changed + noise(int(rng.integers(0, 60))))))
+        want.add((d, k))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and all(-1 <= r.cosine <= 1.0001 for r in got)
+
+
 def test_lcs():
     assert [decontaminate.lcs(a.split(), b.split()) for a, b in (("a b c d", "a x c d"), ("", "a"), ("a a b", "b a a"))] == [3, 0, 2]
     assert decontaminate.answer_of("Who? Ada L.") == ["ada", "l"] and decontaminate.answer_of("none here") == []
