@@ -8,8 +8,8 @@ probability from either model.  A document's features are length-normalised: the
 log-likelihood ratio, the mean and sum of what words have beyond a margin, and the log of the length; a logistic
 fit on labelled rows that gave no counts turns them into a score.
 
-Counts come from all labelled rows of their folds.  They are kept by hashed n-gram, ``BUCKETS`` per order, so the
-model has the same size for any corpus: that is the bound of what is broadcast.
+Counts come from all labelled rows of their folds.  They are kept by n-gram, each under a 64-bit hash of its own, so
+the model grows with the different n-grams of those rows: about 24 bytes for each are broadcast.
 """
 
 from __future__ import annotations
@@ -24,11 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import in_pieces, whole_text
+from gleaner.llm.common import in_pieces, signed, whole_text
 
 ORDER, SHARED_ORDER = 5, 2
-BITS = 18
-BUCKETS = 1 << BITS
 DISCOUNT = 0.75
 ALPHABET = 4096
 MARGIN, MOST = 1.5, 10.0
@@ -48,7 +46,7 @@ def words_of(text: str) -> list[str]:
 
 
 def _grams(words: list[str]):
-    """For the characters of each word and its end: (word number, position, hashes of the n-grams that end there)."""
+    """For the characters of each word and its end: (word number, position, 64-bit keys of the n-grams that end there)."""
     chars = np.frombuffer("".join([f"\2{w}\3" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     sizes = np.array([len(w) + 2 for w in words])
     word = np.repeat(np.arange(len(words)), sizes)
@@ -58,28 +56,26 @@ def _grams(words: list[str]):
         for _ in range(ORDER):
             before = np.r_[np.zeros(1, np.uint64), hashed[-1][:-1]]
             hashed.append((before + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0x9E3779B97F4A7C15) + chars * np.uint64(0xD1342543DE82EF95))
-        buckets = [(h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS) for h in hashed]
-    return word, place, [b.astype(np.int64) for b in buckets]
+        keys = [(h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9) for h in hashed]
+    return word, place, [signed(k) for k in keys]
 
 
-COUNTS = "gram_order int, bucket int, context int, suffix int, ordinary bigint, toxic bigint"
+COUNTS = "gram_order int, gram bigint, context bigint, suffix bigint, ordinary bigint, toxic bigint"
 
 
 def _count_rows(words: dict[str, list[int]]) -> list[pa.RecordBatch]:
     if not words:
         return []
-    word, place, buckets = _grams(list(words))
+    word, place, grams = _grams(list(words))
     weights = np.array(list(words.values()), dtype=np.float64)
     out = []
     for k in range(1, ORDER + 1):
         at = np.flatnonzero((place >= max(1, k - 1)))
-        b = buckets[k][at]
-        context = buckets[k - 1][at - 1] if k > 1 else np.zeros(len(at), np.int64)
-        suffix = buckets[k - 1][at] if k > 1 else np.zeros(len(at), np.int64)
-        seen, first, number = np.unique(b, return_index=True, return_inverse=True)
+        context, suffix = grams[k - 1][at - 1], grams[k - 1][at]
+        seen, first, number = np.unique(grams[k][at], return_index=True, return_inverse=True)
         sums = [np.bincount(number, weights[word[at], c]).astype(np.int64) for c in (0, 1)]
-        ints = [np.full(len(seen), k), seen, context[first], suffix[first]]
-        out.append(pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in ints), *map(pa.array, sums)], names=["gram_order", "bucket", "context", "suffix", "ordinary", "toxic"]))
+        columns = [np.full(len(seen), k, np.int32), seen, context[first], suffix[first], *sums]
+        out.append(pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["gram_order", "gram", "context", "suffix", "ordinary", "toxic"]))
     return out
 
 
@@ -97,20 +93,32 @@ def _count(batches):
 
 @dataclass
 class Model:
-    """Per order: the discounted share of each n-gram and the weight of each context's lower order, by class."""
+    """Per order, 0 to ``ORDER``: the sorted n-grams, those that only are contexts included, and a row for each: its
+    discounted share by class, and by class the weight of the lower order where it is the context."""
 
-    shares: list[list[np.ndarray]]
-    backoffs: list[list[np.ndarray]]
+    grams: list[np.ndarray]
+    values: list[np.ndarray]
     weights: np.ndarray = field(default_factory=lambda: np.zeros(5))
     known: dict[str, float] = field(default_factory=dict)
 
+    def values_of(self, k: int, grams: np.ndarray) -> np.ndarray:
+        """The rows of n-grams of order k; one that isn't there has no share and leaves all to the lower order."""
+        wanted, back = np.unique(grams, return_inverse=True)
+        out = np.tile(np.array([0, 0, 1, 1], np.float32), (len(wanted), 1))
+        if len(self.grams[k]):
+            at = np.minimum(np.searchsorted(self.grams[k], wanted), len(self.grams[k]) - 1)
+            found = self.grams[k][at] == wanted
+            out[found] = self.values[k][at[found]]
+        return out[back].astype(np.float64)
+
     def word_ratios(self, words: list[str]) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary), within +-MOST."""
-        word, place, buckets = _grams(words)
+        word, place, grams = _grams(words)
         p = [np.full(len(word), 1 / ALPHABET)] * 2
+        here = self.values_of(0, grams[0])
         for k in range(1, ORDER + 1):
-            context = np.r_[0, buckets[k - 1][:-1]] if k > 1 else np.zeros(len(word), np.int64)
-            longer = [self.shares[k][c][buckets[k]] + self.backoffs[k][c][context] * p[c] for c in (0, 1)]
+            context, here = np.r_[here[:1], here[:-1]], self.values_of(k, grams[k])
+            longer = [here[:, c] + context[:, 2 + c] * p[c] for c in (0, 1)]
             p = [np.where(place >= k - 1, x, y) for x, y in zip(longer, p, strict=True)]
         ratio = np.where(place > 0, np.log(p[1]) - np.log(p[0]), 0.0)
         return np.clip(np.bincount(word, ratio, len(words)), -MOST, MOST)
@@ -139,27 +147,26 @@ class Model:
 def model_of(rows: pa.Table) -> Model:
     """The model from summed counts (columns of ``COUNTS``)."""
     column = {c: rows.column(c).to_numpy() for c in rows.column_names}
-    shares, backoffs = [[]], [[]]
+    of = [column["gram_order"] == k for k in range(ORDER + 2)]
+    grams = [np.unique(np.r_[column["gram"][of[k]], column["context"][of[k + 1]]]) for k in range(ORDER + 1)]
+    values = [np.tile(np.array([0, 0, 1, 1], np.float32), (len(g), 1)) for g in grams]
     for k in range(1, ORDER + 1):
-        mine, above = column["gram_order"] == k, column["gram_order"] == k + 1
-        bucket, context = column["bucket"][mine], column["context"][mine]
+        mine = np.searchsorted(grams[k], column["gram"][of[k]])
+        context = np.searchsorted(grams[k - 1], column["context"][of[k]])
         if k <= SHARED_ORDER:
             # continuation counts; what only begins words has no character before it and counts once
-            before = np.bincount(column["suffix"][above], minlength=BUCKETS)[bucket]
-            counts = [np.maximum(before, 1)] * 2
+            seen, n = np.unique(column["suffix"][of[k + 1]], return_counts=True)
+            before = np.zeros(len(grams[k]))
+            before[np.searchsorted(grams[k], seen)] = n
+            counts = [np.maximum(before[mine], 1)] * 2
         else:
-            counts = [column["ordinary"][mine], column["toxic"][mine]]
-        share, backoff = [], []
-        for n in counts:
-            total = np.bincount(context, n, BUCKETS)
-            kinds = np.bincount(context, n > 0, BUCKETS)
-            s = np.zeros(BUCKETS)
-            s[bucket] = np.maximum(n - DISCOUNT, 0) / np.maximum(total[context], 1)
-            share.append(s)
-            backoff.append(np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0))
-        shares.append(share)
-        backoffs.append(backoff)
-    return Model(shares, backoffs)
+            counts = [column["ordinary"][of[k]], column["toxic"][of[k]]]
+        for c, n in enumerate(counts):
+            total = np.bincount(context, n, len(grams[k - 1]))
+            kinds = np.bincount(context, n > 0, len(grams[k - 1]))
+            values[k][mine, c] = np.maximum(n - DISCOUNT, 0) / np.maximum(total[context], 1)
+            values[k - 1][:, 2 + c] = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+    return Model(grams, values)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -191,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: tuple[int, ...] = (1, 2, 3)
     marks = F.broadcast(marks) if marks.count() <= BROADCAST_LABELS else marks
     rows = docs.select("doc_id", whole_text().alias("text")).join(marks, "doc_id")
     counted = rows.where(fold(F.col("doc_id")).isin(*folds)).select("text", "toxic").mapInArrow(_count, COUNTS)
-    summed = counted.groupBy("gram_order", "bucket").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    summed = counted.groupBy("gram_order", "gram").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
     model = model_of(summed.toArrow())
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

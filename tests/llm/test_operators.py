@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,18 @@ def test_toxicity(spark, docs):
         assert all(0 <= r.score <= 1 for r in counted(toxicity.toxicity(docs, l), docs))
 
 
+def test_toxicity_counts_of_many_words():
+    rng = np.random.default_rng(16)
+    words = {"".join(map(chr, rng.integers(0x4E00, 0x4E00 + 3000, 6))): [1, 0] for _ in range(60_000)} | {"vilelout": [0, 50]}
+    rows = [tuple(r.values()) for b in toxicity._count_rows(words) for r in b.to_pylist()]
+    assert len({r[:2] for r in rows if r[0] == 5}) == len({w[a : a + 5] for w in (f"\2{x}\3" for x in words) for a in range(len(w) - 4)})
+    model = toxicity.model_of(pa.Table.from_batches(toxicity._count_rows(words)))
+    for g in ("vile", "lout", "elou"):
+        _, place, grams = toxicity._grams([g])
+        share = model.values_of(4, grams[4])[np.flatnonzero(place == 4)][:, :2]
+        assert share[0, 0] == 0 and share[0, 1] == pytest.approx((50 - toxicity.DISCOUNT) / 50)
+
+
 def test_leaks(spark, docs):
     rng = np.random.default_rng(5)
     item = [f"q{k}" for k in range(30)]
