@@ -87,49 +87,75 @@ def fingerprint_components(docs: DataFrame, words: int = WORDS, radius: int = RA
 # Near-duplicates at a Jaccard similarity
 #
 # At five words and a similarity of 0.8 two texts' prints differ in 6 to 13 of 64 bits, as do many pairs that are
-# less alike.  So prints within the index's radius are only some of the candidates; the others share a band of
-# minimum hashes of their shingles.  Candidates are gathered in classes and every link is decided by the exact
-# similarity of whole shingle sets.
+# less alike.  So prints within the index's radius are only some of the candidates.  The others come from a prefix
+# filter, which loses no link: in any one order of all shingles, two sets at the similarity share one of the first
+# ``n - ceil(similarity * n) + 1`` of each, n being a set's own size.  The order is that of ``shingle_order``, seldom
+# ones first, so that few sets share one by chance.  Candidates are gathered in classes and every link is decided by
+# the exact similarity of whole shingle sets.
 
 STAGE_WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 12, 4
+#: Shingles are ordered by how often texts of a sample, one of so many, have them; counts are kept by hashed shingle.
+#: Any order is right, since it only has to be the same for all texts: the counts merely keep classes small.
+SAMPLE, COUNT_BITS = 8, 20
 #: Ids up to this number are broadcast (16 bytes each and their table); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-_MIX = np.random.default_rng(SEED).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 
 
-def bands(h: np.ndarray) -> np.ndarray:
-    """A key for each band, from the minima of the distinct shingle hashes under several hash functions."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(h), 4096):
-            x = h[at : at + 4096, None] * _MIX[0] + _MIX[1]
-            least = np.minimum(least, (x >> np.uint64(20)).min(axis=0))
-        keys = least.reshape(BANDS, ROWS)
-        out = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for r in range(ROWS):
-            out = (out ^ keys[:, r]) * np.uint64(0xD6E8FEB86659FD93)
-            out ^= out >> np.uint64(32)
-    return signed(out)
+def _slots(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
 
 
-def _sketches(words: int):
-    def run(batches):
+def shingle_order(narrow: DataFrame, words: int) -> np.ndarray:
+    """For each slot of hashed shingles, in how many texts of the sample one of them is."""
+
+    def count(batches):
+        total = np.zeros(1 << COUNT_BITS, np.int32)
         for batch in in_pieces(batches):
+            for text in as_bytes(batch.column(0)):
+                total[np.unique(_slots(hashes(text, words)))] += 1
+        at = np.flatnonzero(total > 1)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
+
+    sample = narrow.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text")
+    got = sample.mapInArrow(count, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << COUNT_BITS, np.int32)
+    out[got.column("slot").to_numpy()] = np.minimum(got.column("n").to_numpy(), np.iinfo(np.int32).max)
+    return out
+
+
+def prefix(h: np.ndarray, counts: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The shingles of a set (distinct hashes) of which a set at the similarity must share one."""
+    n = len(h)
+    return h[np.lexsort((h, counts[_slots(h)]))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
+
+
+def _node(text: bytes) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(text.lower().split()), 1)
+
+
+def _sketches(words: int, similarity: float, counts):
+    def run(batches):
+        for batch in in_pieces(batches, 500):
             nodes, prints, keys = [], [], []
             for text in as_bytes(batch.column(1)):
                 h = hashes(text, words)
-                nodes.append(xxhash.xxh64_intdigest(b" ".join(text.lower().split()), 1))
+                nodes.append(_node(text))
                 prints.append(simhash(h))
-                keys.append(bands(np.unique(h)) if len(h) else np.zeros(0, np.int64))
+                keys.append(signed(prefix(np.unique(h), counts.value, similarity)) if len(h) else np.zeros(0, np.int64))
             ends = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
             ints = [pa.array(signed(np.array(x, np.uint64))) for x in (nodes, prints)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *ints, listed], names=["doc_id", "node", "print", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *ints, listed], names=["doc_id", "node", "print", "keys"])
 
     return run
 
 
+def _named(batches):
+    for batch in in_pieces(batches, 500):
+        nodes = [_node(text) for text in as_bytes(batch.column(0))]
+        yield pa.RecordBatch.from_arrays([pa.array(signed(np.array(nodes, np.uint64))), batch.column(0)], names=["named", "text"])
+
+
 def _sets(words: int, similarity: float):
     """Shingle sets, each for the range of sizes that its own falls in and for the next smaller one: two sets can
     only be alike enough if their sizes are in one range or in neighbouring ones."""
@@ -139,6 +165,8 @@ def _sets(words: int, similarity: float):
         for batch in in_pieces(batches, 500):
             rows = []
             for group, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
+                if int(signed(np.array([_node(text)], np.uint64))[0]) != node:
+                    continue  # another text of the same doc_id
                 h = np.unique(hashes(text, words))
                 k = int(np.log(max(1, len(h))) / ratio + 1e-9)
                 rows += [(group, r, node, h.tobytes()) for r in (k, k - 1)]
@@ -192,7 +220,8 @@ def _verify(similarity: float):
                 if (group, sizes) != key:
                     yield from links(rows)
                     key, rows = (group, sizes), []
-                rows.append((node, shingles))
+                if not rows or rows[-1][0] != node:
+                    rows.append((node, shingles))
         yield from links(rows)
 
     return run
@@ -204,21 +233,26 @@ def near_duplicates(docs: DataFrame, words: int = STAGE_WORDS, similarity: float
 
     Texts equal but for case and white space are one node from the start.  Texts without words are alike.  A null
     doc_id is grouped but is no group's id while another is there.  Groups are handled by ranges of set sizes, so
-    a task holds the sets of one range of one class of candidates.
+    a task holds the sets of one range of one class of candidates.  A text takes part once, whether or not its rows
+    have ids.
     """
     narrow = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    sketch = checkpoint(narrow.mapInArrow(_sketches(words), "doc_id bigint, node bigint, print bigint, bands array<bigint>"))
-    nodes = checkpoint(sketch.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("print").alias("print"), F.first("bands").alias("bands")))
-    banded = nodes.select("node", F.explode("bands").alias("key"))
-    stars = banded.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top")
-    by_band = banded.join(stars, "key").select(F.col("node").alias("a"), "b")
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_order(narrow, words))
+    sketch = checkpoint(narrow.mapInArrow(_sketches(words, similarity, counts), "doc_id bigint, node bigint, print bigint, keys array<bigint>"))
+    nodes = checkpoint(sketch.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("print").alias("print"), F.first("keys").alias("keys")))
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    stars = keyed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top")
+    by_key = keyed.join(stars, "key").where("node <> b").select(F.col("node").alias("a"), "b")
     by_print = nodes.groupBy("print").agg(F.min("node").alias("id"))
     same = nodes.join(by_print, "print").select(F.col("node").alias("a"), F.col("id").alias("b"))
-    candidates = connected_components(by_band.unionByName(same).unionByName(hamming_links(by_print)))
-    members = nodes.select("node", "first").join(candidates, "node").where("first is not null").select("first", "node", "component")
-    members = checkpoint(members)
+    candidates = connected_components(by_key.unionByName(same).unionByName(hamming_links(by_print)))
+    members = checkpoint(nodes.select("node", "first").join(candidates, "node").select("first", "node", "component"))
     few = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
     texts = narrow.join(few, narrow["doc_id"] == few["first"]).select("component", "node", "text")
+    if members.where("first is null").count():
+        named = narrow.where("doc_id is null").select("text").mapInArrow(_named, "named bigint, text string")
+        without = members.where("first is null").select("component", "node")
+        texts = texts.unionByName(named.join(without, named["named"] == without["node"]).select("component", "node", "text"))
     sets = texts.mapInArrow(_sets(words, similarity), "group bigint, sizes int, node bigint, shingles binary")
     links = sets.repartition("group", "sizes").sortWithinPartitions("group", "sizes", "node").mapInArrow(_verify(similarity), "a bigint, b bigint")
     classes = connected_components(links)

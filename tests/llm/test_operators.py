@@ -58,6 +58,39 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == dict(enumerate(label))
 
 
+def linked(spark, rows):
+    return {(r.doc_id, r.group_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_prefixes_miss_no_link():
+    """Pairs just at the similarity: bands of minimum hashes miss about two of a thousand of them."""
+    rng, counts = np.random.default_rng(17), np.zeros(1 << simhash.COUNT_BITS, np.int32)
+    counts[: 1 << 18] = rng.integers(0, 9, 1 << 18)
+    for _ in range(20_000):
+        n = int(rng.integers(1, 41))
+        common, rest = 4 * n, rng.integers(0, 1 << 63, 5 * n, dtype=np.uint64)
+        only = int(rng.integers(0, n + 1))
+        a, b = np.unique(rest[: common + only]), np.unique(np.r_[rest[:common], rest[common + only :]])
+        assert len(np.intersect1d(simhash.prefix(a, counts), simhash.prefix(b, counts)))
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    base = [f"w{k}" for k in range(100)]
+    near = " ".join([*base[:99], "new"])
+    far = " ".join(f"z{k}" for k in range(80))
+    rows = [(None, " ".join(base)), (5, near), (None, " ".join([*base, "more"])), (5, far), (6, far + " end"), (9, "x y z")]
+    got = linked(spark, rows)
+    assert got == {(None, 5), (5, 5), (6, 5), (9, 9)}
+
+
+def test_near_duplicates_through_texts_without_ids(spark):
+    base = [f"w{k}" for k in range(40)]
+    step = lambda a: " ".join(["h", *base, *[f"v{j}" for j in range(a)]])
+    a, b = set(simhash.shingles(step(0).encode(), 5)), set(simhash.shingles(step(16).encode(), 5))
+    assert len(a & b) < 0.8 * len(a | b)
+    assert linked(spark, [(1, step(0)), (None, step(8)), (2, step(16))]) == {(1, 1), (None, 1), (2, 1)}
+
+
 def test_near_duplicate_stage_keeps_columns(docs):
     kept = simhash.without_near_duplicates(docs)
     assert kept.columns == docs.columns
