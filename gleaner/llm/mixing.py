@@ -20,6 +20,8 @@ from gleaner.llm.common import checkpoint
 WEIGHTS = (5, 2, 1)
 MOST = 3
 _SPREAD = 64
+#: Groups of rows up to this number are broadcast (about 80 bytes each); more are joined by a shuffle.
+BROADCAST_SHARES = 1_000_000
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -108,7 +110,33 @@ def _allot(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken) of every row: how many times the mix takes it.
+    """(doc_id, size, source_size, target, copies, taken) of every row: how many times the mix takes it."""
+    return _copies(docs, key, text).drop("source")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all their columns, each as often as the mix takes it.
+
+    Rows that agree in doc_id, source and size share the copies that the mix gives to all of them; where these don't
+    come out even, those of the smallest hash of text get one more.  Null doc_ids and sources are values like others.
+    """
+    shares = _copies(docs).groupBy(F.col("doc_id").alias("doc_id_"), F.col("source").alias("source_"), F.col("size").alias("size_"))
+    shares = shares.agg(F.sum("copies").alias("all_"), F.count("*").alias("rows_")).where("all_ > 0")
+    shares = checkpoint(shares.select("doc_id_", "source_", "size_", F.expr("all_ div rows_").alias("each_"), (F.col("all_") % F.col("rows_")).alias("more_")))
+    few = F.broadcast(shares) if shares.count() <= BROADCAST_SHARES else shares
+    on = docs["doc_id"].eqNullSafe(F.col("doc_id_")) & docs["source"].cast("string").eqNullSafe(F.col("source_")) & (size_of(docs["text"]) == F.col("size_"))
+    rows = docs.join(few, on)
+    taken = rows.where("more_ = 0").withColumn("copies_", F.col("each_"))
+    if shares.where("more_ > 0").count():
+        rank = F.row_number().over(Window.partitionBy("doc_id_", "source_", "size_").orderBy(F.xxhash64(docs["text"])))
+        uneven = rows.where("more_ > 0").withColumn("rank_", rank)
+        taken = taken.unionByName(uneven.withColumn("copies_", F.col("each_") + (F.col("rank_") <= F.col("more_")).cast("long")).drop("rank_"))
+    taken = taken.where("copies_ > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies_"))))
+    return taken.select(*docs.columns)
+
+
+def _copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) of every row.
 
     A document of no words takes no words and stays once.  A null source is a source of its own; a null doc_id
     and repeated rows are documents like any other.  Reruns agree: of the documents of one size in one source,
@@ -136,4 +164,4 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rank = F.col("before") + F.row_number().over(inside)
     each = F.floor(F.col("copies") / F.col("n"))
     copies = (each + F.when(rank <= F.col("copies") - each * F.col("n"), 1).otherwise(0)).cast("long")
-    return joined.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

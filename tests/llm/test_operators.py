@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from gleaner.llm import components, decontaminate, hamming, mixing, pii, repair, simhash, tokencount, toxicity, urlfilter, warc, webp
 from gleaner.llm.tokenizing import ids_of, vocabulary
 
@@ -177,6 +178,22 @@ def test_mix(docs):
     assert counted(mixing.mix(docs.limit(0)), docs.limit(0)) == []
 
 
+def test_mix_stage_keeps_null_and_repeated_ids(spark):
+    text = lambda k, n: " ".join(f"w{k}" for _ in range(n))
+    rows = [(None, text(k, 10 + k % 3), "a") for k in range(40)] + [(7, text(k, 5 + k % 2), "b") for k in range(30)]
+    rows += [(k, text(k, 20), "c") for k in range(100, 150)] + [(7, text(1, 12), None), (None, None, "c"), (None, "", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copies", F.lit("kept"))
+    got = corpus_pipeline.mix_sources(spark, df, "")
+    assert got.columns == df.columns
+    words = lambda rows, n: {s: sum(n(r) for r in rows if r[0] == s) for s in ("a", "b", "c", None)}
+    planned = mixing._copies(df).collect()
+    taken = [(r.source, len((r.text or "").split())) for r in got.collect()]
+    assert words(taken, lambda r: r[1]) == words([(r.source, r.taken) for r in planned], lambda r: r[1])
+    assert len(taken) == sum(r.copies for r in planned)
+    most = got.groupBy("doc_id", "text", "source").count().agg(F.max("count")).first()[0]
+    assert most <= mixing.MOST and all(abs(words(taken, lambda r: r[1])[r.source] - r.target) < 20 for r in planned)
+
+
 def test_allot_meets_its_target():
     rng = np.random.default_rng(6)
     size, n = np.arange(0, 900), rng.integers(1, 9, 900)
