@@ -4,7 +4,9 @@ DataFrame functions only.  A pattern's matches and the pieces between them come
 places of matches are running sums of lengths, taken in blocks, so a text with very many matches stays affordable.
 The patterns are written so that a scan is linear: a run of characters that may begin a match is tried from its
 first character or from the end of the match before, never from each of its characters, and no group gives back
-what it took.  They match what the plain patterns in ``KINDS`` match.
+what it took, but for an IBAN's at most 30 characters.  They match what the plain patterns in ``KINDS`` match; an
+IBAN has its country's length, or else the greatest length at which its checksum holds, so what follows it is not
+taken for a part of it.
 """
 
 from __future__ import annotations
@@ -20,6 +22,17 @@ _BLOCK = 128
 _NEAR = 40
 
 
+#: Characters of an IBAN by country, as registered.
+_IBAN_SIZES = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA",
+    23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM",
+    28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+_IBAN = "(?:" + "|".join(rf"(?:{c})[0-9]{{2}}(?:\x20?+[A-Z0-9]){{{n - 4}}}" for n, c in _IBAN_SIZES.items()) + ")(?![A-Za-z0-9])"
+#: Of any other length or country: as far as it goes, but not into one of those; ``whole_iban`` finds its end.
+_OTHER_IBAN = rf"[A-Z]{{2}}[0-9]{{2}}(?:(?:\x20(?!{_IBAN}))?+[A-Z0-9]){{11,30}}(?![A-Za-z0-9])"
+
+
 @dataclass(frozen=True)
 class Kind:
     """``plain`` is the pattern by definition, ``pattern`` the same without backtracking; ``needs`` must occur in a text."""
@@ -38,7 +51,7 @@ KINDS = (
     Kind("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", r"\bip\b|address|server|host|from|adresse", 0.6),
     Kind("card", r"[0-9]([\x20-]?[0-9])+", r"[0-9](?:[\x20-]?+[0-9])++", "", r"card|visa|master|credit|karte|tarjeta|carte", 0.7),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", "+", r"phone|tel|call|mobile|fax|anruf|llam|appel", 0.6),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}([\x20]?[A-Z0-9]){11,30}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "", r"iban|bank|account|konto|cuenta|compte", 0.8),
+    Kind("iban", r"[A-Z]{2}[0-9]{2}([\x20]?[A-Z0-9]){11,30}", rf"(?<![A-Za-z0-9])(?:{_IBAN}|{_OTHER_IBAN})", "", r"iban|bank|account|konto|cuenta|compte", 0.8),
 )
 BASE = tuple(k.name for k in KINDS[:4])
 _BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -67,6 +80,15 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), take) == 1
 
 
+def whole_iban(found: Column) -> Column:
+    """An IBAN without the words after it: one of a known length as it is, another up to its last word's end where
+    the checksum holds; all of it if that is nowhere."""
+    bare = lambda n: F.length(F.replace(F.substring(found, F.lit(1), n), F.lit(" "), F.lit("")))
+    ends = lambda n: F.substring(found, n + 1, F.lit(1)).isin("", " ") & (F.substring(found, n, F.lit(1)) != " ") & (bare(n) >= 15)
+    holds = F.filter(F.sequence(F.length(found), F.lit(15), F.lit(-1)), lambda n: F.when(ends(n), mod97(F.substring(found, F.lit(1), n))).otherwise(False))
+    return F.when(found.rlike(f"^{_IBAN}$"), found).otherwise(F.substring(found, F.lit(1), F.coalesce(F.get(holds, F.lit(0)), F.length(found))))
+
+
 def confirmed(kind: str, found: Column) -> Column:
     digits = F.regexp_replace(found, "[^0-9]", "")
     if kind == "ip":
@@ -121,6 +143,9 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", kinds: tuple
         near = lambda x: x["b"]["near"].rlike(k.words)
         score = lambda x: F.least(F.lit(1.0), F.lit(k.score) + F.when(near(x), 0.2).otherwise(0.0))
         joined = F.arrays_zip(F.col(f"{k.name}_m").alias("m"), F.col(f"{k.name}_b").alias("b"), F.col(f"{k.name}_e").alias("e"))
+        if k.name == "iban":
+            cut = lambda x, m: F.struct(m.alias("m"), x["b"].alias("b"), (x["e"] - F.length(x["m"]) + F.length(m)).alias("e"))
+            joined = F.transform(joined, lambda x: cut(x, whole_iban(x["m"])))
         kept = F.filter(joined, lambda x: confirmed(k.name, x["m"]))
         return F.transform(kept, lambda x: F.struct((x["e"] - F.length(x["m"])).alias("start"), x["e"].alias("end"), x["m"].alias("found"), score(x).alias("score")))
 

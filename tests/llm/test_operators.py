@@ -224,6 +224,17 @@ def test_pii(spark, docs):
     assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (3, 301, 1, 1)
 
 
+def test_ibans_before_other_words(spark):
+    de, gb, odd = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "XX" + "{:02d}" + "ABCDE1234567"
+    odd = next(t for t in (odd.format(k) for k in range(2, 99)) if int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1)
+    spaced = "DE89 3704 0044 0532 0130 00"
+    cases = [(f"{de} Please pay", [de]), (f"to {spaced} Bank", [spaced]), (f"{spaced} BIC COBADEFF", [spaced]), (f"{spaced} 2024.", [spaced]), (f"{spaced} {gb} {de}", [spaced, gb, de]), (f"{odd} Ask", [odd]), (f"AB12 3456 7890 123 {spaced} X", [spaced]), (f"{odd} BIC {gb}", [odd, gb]), (f"{de}1 x{de}", []), ("DE88370400440532013000 Please", [])]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    for r in pii.spans(df).collect():
+        text, want = cases[r.doc_id]
+        assert [x.found for x in r.iban] == want and all(text[x.start : x.end] == x.found for x in r.iban)
+
+
 def test_token_counts_use_the_cache(spark, docs, tmp_path):
     path, cache = vocabulary("word_bpe_49k.json"), f"file://{tmp_path}/cache"
     rows = counted(tokencount.token_counts(docs, path, cache), docs)
