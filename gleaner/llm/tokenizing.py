@@ -146,7 +146,8 @@ class PieceCounts:
     """Token counts of whole texts under a BPE with word ends, which drops white space and lower-cases.
 
     ASCII white space never is inside a piece or joins the characters beside it.  Lower-casing a word beforehand
-    is what the tokenizer does where no character beyond Latin Extended-B occurs.
+    is what the tokenizer does where no character beyond Latin Extended-B occurs; special strings are found before
+    that, so a word that may hold one is left as it is.
     """
 
     def __init__(self, path: str):
@@ -157,7 +158,7 @@ class PieceCounts:
         known, forms = self.known, {}
         for p in missing:
             s = p.decode()
-            if max(s) < "ɐ" and "İ" not in s:
+            if max(s) < "ɐ" and "İ" not in s and "<|" not in s:
                 s = s.lower()
                 forms[p] = (s[:-1].encode(), 1) if _ends_a_word(s) else (s.encode(), 0)
             else:

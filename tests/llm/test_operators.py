@@ -235,6 +235,14 @@ def test_ibans_before_other_words(spark):
         assert [x.found for x in r.iban] == want and all(text[x.start : x.end] == x.found for x in r.iban)
 
 
+def test_token_counts_of_special_strings():
+    from gleaner.llm.tokenizing import PieceCounts
+
+    path = vocabulary("word_bpe_49k.json")
+    texts = ["<|ENDOFTEXT|>", "a<|EndOfText|>", "<|endoftext|>", "Say <|StartOfText|> now.", "A<|b"]
+    assert PieceCounts(path).count([t.encode() for t in texts]) == [len(x) for x in ids_of(path, texts)]
+
+
 def test_token_counts_use_the_cache(spark, docs, tmp_path):
     path, cache = vocabulary("word_bpe_49k.json"), f"file://{tmp_path}/cache"
     rows = counted(tokencount.token_counts(docs, path, cache), docs)
