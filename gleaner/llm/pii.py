@@ -54,7 +54,7 @@ KINDS = (
     Kind("iban", r"[A-Z]{2}[0-9]{2}([\x20]?[A-Z0-9]){11,30}", rf"(?<![A-Za-z0-9])(?:{_IBAN}|{_OTHER_IBAN})", "", r"iban|bank|account|konto|cuenta|compte", 0.8),
 )
 BASE = tuple(k.name for k in KINDS[:4])
-_BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
 def luhn(digits: Column) -> Column:
