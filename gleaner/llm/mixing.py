@@ -22,13 +22,12 @@ MOST = 3
 _SPREAD = 64
 #: Groups of rows up to this number are broadcast (about 80 bytes each); more are joined by a shuffle.
 BROADCAST_SHARES = 1_000_000
-_WORD = r"[^\x20\x09-\x0D]+"
+_WORD = r"[^\x20\x09-\x0D]++"
 
 
 def size_of(text: Column) -> Column:
     """The number of words; a null text has none."""
-    trimmed = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))).cast("long")
+    return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(_WORD)).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
