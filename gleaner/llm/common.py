@@ -2,27 +2,43 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that hold whole texts; with texts of a few kB a batch stays at some MB.
 TEXT_BATCH_ROWS = 2000
+#: Bytes of texts that a vectorised step takes at once; what it makes of them is some ten times as large.
+TEXT_BLOCK = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or where that is unset a
-    local one, set once per session (a single machine, as in tests)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or where that is unset on a single
+    machine, as in tests, a temporary one, set once per session and deleted at the end.
+
+    A path without a scheme is on the cluster's default file system.  A cluster without the setting is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="gleaner-")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        local = tempfile.mkdtemp(prefix="gleaner-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        found = f"file://{local}"
         spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/") if "://" in found else "file://" + found.removeprefix("file:").rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(found.rstrip("/"))
+    qualified = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"file://{qualified.removeprefix('file:')}" if re.match("file:/(?!/)", qualified) else qualified
 
 
 def fresh_dir(spark: SparkSession, what: str) -> str:
@@ -56,6 +72,57 @@ def in_pieces(batches: Iterable[pa.RecordBatch], rows: int = TEXT_BATCH_ROWS) ->
             yield batch.slice(at, rows)
 
 
+def in_blocks(batches: Iterable[pa.RecordBatch], column: int = 1, most: int = TEXT_BLOCK) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts, in ``column``, have at most ``most`` bytes; a longer text is one by itself."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(where each text's tokens begin and the last ends, a code for each token, the different tokens): what is done
+    for a token has to be done once a block only.  Tokens have white space between them."""
+    found = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    flat = found.flatten().dictionary_encode()
+    offsets = found.offsets.to_numpy().astype(np.int64)
+    return offsets - offsets[0], flat.indices.to_numpy(zero_copy_only=False), flat.dictionary
+
+
+def words_in(texts: pa.Array, pattern: re.Pattern, plain) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(a number for each word of all texts one after another, where each text's begin and the last end, the words by
+    number).  Words are what ``pattern`` finds in the lower-cased text; it must take no white space, stop or quotation mark
+    and find all of a token of which ``plain``, a function of arrays, is true."""
+    offsets, codes, found = tokens(texts)
+    bare = pc.utf8_trim(pc.utf8_lower(found), characters=".,;:!?\"'()")
+    simple = plain(bare).to_numpy(zero_copy_only=False)
+    whole = bare.filter(pa.array(simple)).dictionary_encode()
+    words = whole.dictionary.to_pylist()
+    number = np.zeros(len(found), np.int32)
+    number[simple] = whole.indices.to_numpy(zero_copy_only=False)
+    rest = np.flatnonzero(~simple)
+    if not len(rest):
+        return number[codes], offsets, words
+    known = {w: k for k, w in enumerate(words)}
+    others = [[known.setdefault(w, len(known)) for w in pattern.findall(t.lower())] for t in found.take(pa.array(rest)).to_pylist()]
+    sizes, flat = np.ones(len(found), np.int64), np.array([k for o in others for k in o], np.int32)
+    sizes[rest] = [len(o) for o in others]
+    begins = np.zeros(len(found), np.int64)
+    begins[rest] = np.cumsum(sizes[rest]) - sizes[rest]
+    n = sizes[codes]
+    ends = np.r_[0, np.cumsum(n)]
+    out = np.empty(ends[-1], np.int32)
+    one = simple[codes]
+    out[ends[:-1][one]] = number[codes[one]]
+    codes, first, n = codes[~one], ends[:-1][~one], n[~one]
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    out[np.repeat(first, n) + within] = flat[np.repeat(begins[codes], n) + within]
+    return out, ends[offsets], list(known)
+
+
 def batch_of(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 

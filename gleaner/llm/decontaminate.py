@@ -3,66 +3,69 @@
 Passages of a text are runs of ``2 * STEP`` words, one every ``STEP`` words.  Their TF-IDF vectors are over hashed
 words, with document frequencies of all documents.  The latent space is that of a randomised SVD of the benchmark's
 passages: every pass multiplies a block of vectors by the matrix and its transpose where the rows are and adds up
-the parts by feature.  All passages of all documents are projected and compared by cosine with the benchmark's; what
+the parts by feature.  The documents' passages are projected and compared by cosine with the benchmark's; a projection
+is no longer than what of a passage lies on the benchmark's words, and each word adds no more to a product than its
+most for any item, so most passages are told without.  What
 is near goes to an exact check in the same place: the longest common subsequence of words within a window little
 longer than the item, and, where an item has an answer, whether the window has it too.
 
 A space of ``RANK`` dimensions holds the passages of many items only in part, so a low cosine rules nothing out.
-Windows that share as many words with an item as its subsequence needs are therefore checked too, whatever their
-cosine: a longer subsequence than that has no window without.
+Places that share as many of an item's rarest words as its subsequence cannot do without are therefore checked too,
+whatever their cosine: if ``needs`` of an item's n words are in a window, then ``m`` of any ``n - needs + m`` of them are.
+With both, no text is missed that the exact check would find.
 
-The benchmark is taken ``MOST_ITEMS`` items at a time, which bounds what is broadcast; documents are only read.
+The benchmark is taken ``MOST_ITEMS`` items at a time, which bounds what is broadcast; documents are only read, in
+blocks of bounded size.  What a block is turned into is some 40 bytes for each word, also for a very long text.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import in_pieces, whole_text
+from gleaner.llm.common import in_blocks, whole_text, words_in
 
 STEP = 16
 BITS = 18
 FEATURES = 1 << BITS
 RANK, SPARE, PASSES, SEED = 192, 16, 3, 11
-NEAR = 0.4
+NEAR = 0.55
 LEAST_LCS = 0.75
 LEAST_ANSWER = 0.75
-#: Words of a text whose shared words are counted at once; a window that begins among them is counted whole.
-WORDS_AT_ONCE = 1024
+#: One in so many of the words that an item needs must be among its rare ones.
+RARE_SHARE = 4
+#: Passages projected at once.
+PASSAGES_AT_ONCE = 2048
 MOST_ITEMS = 20_000
 _WORD = re.compile(r"\w+")
 _ANSWER = re.compile(r"(?is)\banswer\s*:\s*(.+)$|\?\s+([^?]+)$")
-_WORDS_KEPT = 300_000
 
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def feature(word: str) -> int:
-    return (zlib.crc32(word.encode("utf-8", "surrogatepass")) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - BITS)
+def hashes_of(words: list[str]) -> np.ndarray:
+    """XXH64 of words; equal hashes count as equal words."""
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
 
 
-class Features:
-    """Features of words, each worked out once a worker while there is room."""
+def features_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BITS)).astype(np.int32)
 
-    def __init__(self):
-        self.known: dict[str, int] = {}
 
-    def of(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > _WORDS_KEPT:
-            known.clear()
-        known.update((w, feature(w)) for w in set(words).difference(known))
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+def text_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words of all texts one after another, where each text's begin and the last end)."""
+    numbers, offsets, words = words_in(texts, _WORD, pc.utf8_is_alnum)
+    return hashes_of(words)[numbers], offsets
 
 
 def _frequency_rows(counts: np.ndarray) -> pa.RecordBatch:
@@ -71,10 +74,13 @@ def _frequency_rows(counts: np.ndarray) -> pa.RecordBatch:
 
 
 def _frequencies(batches):
-    features, counts = Features(), np.zeros(FEATURES, np.int64)
-    for batch in in_pieces(batches, 500):
-        for text in batch.column(0).to_pylist():
-            counts[np.unique(features.of(list(set(words_of(text)))))] += 1
+    counts = np.zeros(FEATURES, np.int64)
+    for batch in in_blocks(batches, 0):
+        h, offsets = text_hashes(batch.column(0))
+        f = features_of(h)
+        doc = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        seen = np.sort(doc << BITS | f)
+        counts += np.bincount(seen[np.r_[True, seen[1:] != seen[:-1]]] & FEATURES - 1 if len(seen) else seen, minlength=FEATURES)
     yield _frequency_rows(counts)
 
 
@@ -91,9 +97,9 @@ def _passages(n: int) -> list[tuple[int, int]]:
     return [(a, min(n, a + 2 * STEP)) for a in range(0, max(1, n - STEP), STEP)] if n else []
 
 
-def _vectors(text: str, idf: np.ndarray, features: Features) -> list[tuple[np.ndarray, np.ndarray]]:
+def _vectors(text: str, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(features, TF-IDF weights) of a text's passages, of unit length."""
-    f, out = features.of(words_of(text)), []
+    f, out = features_of(hashes_of(words_of(text))), []
     for a, b in _passages(len(f)):
         seen, n = np.unique(f[a:b], return_counts=True)
         x = n * idf[seen]
@@ -112,10 +118,10 @@ def svd(items: DataFrame, idf: np.ndarray, rank: int = RANK, passes: int = PASSE
     shared_idf = spark.sparkContext.broadcast(idf)
 
     def present(batches):
-        features, seen = Features(), set()
+        seen = set()
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                seen.update(features.of(words_of(t)).tolist())
+                seen.update(features_of(hashes_of(words_of(t))).tolist())
         yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.int32())], names=["feature"])
 
     used = np.sort(texts.mapInArrow(present, "feature int").distinct().toArrow().column(0).to_numpy())
@@ -127,10 +133,10 @@ def svd(items: DataFrame, idf: np.ndarray, rank: int = RANK, passes: int = PASSE
 
         def run(batches):
             used_, v_ = shared.value
-            features, total = Features(), np.zeros(v_.shape, np.float32)
+            total = np.zeros(v_.shape, np.float32)
             for batch in batches:
                 for t in batch.column(0).to_pylist():
-                    for f, x in _vectors(t, shared_idf.value, features):
+                    for f, x in _vectors(t, shared_idf.value):
                         at = np.searchsorted(used_, f)
                         total[at] += np.outer(x, x @ v_[at])
             at = np.flatnonzero(total.any(axis=1))
@@ -158,9 +164,9 @@ def svd(items: DataFrame, idf: np.ndarray, rank: int = RANK, passes: int = PASSE
     return used, (block @ turn[:, best]).astype(np.float32), np.sqrt(np.maximum(values[best], 0))
 
 
-def lcs(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, a bit for each word of a."""
-    at: dict[str, int] = {}
+def lcs(a: list, b: list) -> int:
+    """Length of the longest common subsequence, a bit for each element of a."""
+    at: dict = {}
     for i, w in enumerate(a):
         at[w] = at.get(w, 0) | 1 << i
     full, row = (1 << len(a)) - 1, (1 << len(a)) - 1
@@ -187,93 +193,112 @@ class Matcher:
     basis: np.ndarray
     near: float = NEAR
     least: float = LEAST_LCS
-    features: Features = field(default_factory=Features)
 
     def __post_init__(self):
-        self.words = [words_of(t) for t in self.texts]
+        self.words = [hashes_of(words_of(t)).tolist() for t in self.texts]
         self.sets = [set(w) for w in self.words]
-        self.answers = [answer_of(t) for t in self.texts]
+        self.answers = [hashes_of(answer_of(t)).tolist() for t in self.texts]
         self.row = np.full(FEATURES, -1, np.int32)
         self.row[self.used] = np.arange(len(self.used))
         owners, places = [], []
         for k, t in enumerate(self.texts):
-            for f, x in _vectors(t, self.idf, self.features):
+            for f, x in _vectors(t, self.idf):
                 z = x @ self.basis[self.row[f]]
                 if np.linalg.norm(z) > 0:
                     owners.append(k)
                     places.append(z / np.linalg.norm(z))
         self.owners = np.array(owners, np.int64)
         self.places = np.array(places, np.float32).reshape(len(owners), self.basis.shape[1])
-        # each feature's items, and how often an item has it
-        counted = [np.unique(self.row[self.features.of(w)], return_counts=True) for w in self.words]
-        self.item_rows = [r for r, _ in counted]
-        rows = np.concatenate([*self.item_rows, np.zeros(0, np.int32)])
-        order = np.argsort(rows, kind="stable")
-        self.holders = np.repeat(np.arange(len(counted)), [len(r) for r, _ in counted])[order]
-        self.held = np.concatenate([*(n for _, n in counted), np.zeros(0, np.int64)])[order]
-        self.starts = np.searchsorted(rows[order], np.arange(len(self.used) + 1))
+        # the most that one unit of a feature can add to a product with an item's place
+        most = [(self.basis[a : a + 4096] @ self.places.T).max(axis=1, initial=0.0) for a in range(0, len(self.basis), 4096)]
+        self.most = np.concatenate([*most, np.zeros(0, np.float32)])
         self.needs = np.array([max(1, math.ceil(self.least * len(w) - 1e-9)) for w in self.words], np.int64)
-        self.widest = max((self.wide(len(w)) for w in self.words), default=0)
-        self.mark = np.zeros(len(self.used) + 1, bool)
+        self.wides = np.array([self.wide(len(w)) for w in self.words], np.int64)
+        self.rare_needs = np.maximum(1, self.needs // RARE_SHARE)
+        # each item's rarest words, and by feature the items that have it among those
+        rare = []
+        for w, needs, m in zip(self.words, self.needs.tolist(), self.rare_needs.tolist(), strict=True):
+            f = features_of(np.array(w, np.uint64))
+            rare.append(np.unique(f[np.argsort(-self.idf[f], kind="stable")[: len(f) - needs + m]]))
+        f = np.concatenate([*rare, np.zeros(0, np.int32)])
+        order = np.argsort(f, kind="stable")
+        self.holders = np.repeat(np.arange(len(rare)), list(map(len, rare)))[order]
+        self.starts = np.searchsorted(f[order], np.arange(FEATURES + 1))
 
     @staticmethod
     def wide(n: int) -> int:
         """Words of a window for an item of n words."""
         return n + max(4, n // 4)
 
-    def project(self, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places in the latent space, full lengths) of a text's passages, given the features of its words."""
-        starts = np.arange(0, len(f), STEP)
-        weight = self.idf[f]
-        norms = np.add.reduceat(weight.astype(np.float64) ** 2, starts)
-        rows = self.row[f]
-        at = np.flatnonzero(rows >= 0)
-        sums = np.zeros((len(starts), self.basis.shape[1]), np.float32)
-        if len(at):
-            block = at // STEP
-            first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            sums[block[first]] = np.add.reduceat(self.basis[rows[at]] * weight[at, None], first, axis=0)
-        if len(starts) > 1:
-            sums, norms = sums[:-1] + sums[1:], norms[:-1] + norms[1:]
-        return sums, np.sqrt(norms).astype(np.float32)
-
-    def nearest(self, sums: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int, float]]:
-        """(item, first word, cosine) of the passages near an item."""
-        product = sums @ self.places.T
-        p, q = np.nonzero(product >= self.near * lengths[:, None])
-        return list(zip(self.owners[q].tolist(), (p * STEP).tolist(), (product[p, q] / lengths[p]).tolist(), strict=True))
-
-    def sharing(self, f: np.ndarray):
-        """(item, first words) where windows share enough words with an item for its subsequence; none is left out.
-
-        A window of an item's width is among them, or begins within a passage's length after one that is.
-        """
-        rows = self.row[f]
-        for at in range(0, len(rows), WORDS_AT_ONCE):
-            part = rows[at : at + WORDS_AT_ONCE + self.widest]
-            seen, n = np.unique(part[part >= 0], return_counts=True)
-            first, many = self.starts[seen], self.starts[seen + 1] - self.starts[seen]
-            k = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            shared = np.bincount(self.holders[k], np.minimum(self.held[k], np.repeat(n, many)), len(self.needs))
-            for item in np.flatnonzero(shared >= self.needs).tolist():
-                self.mark[self.item_rows[item]] = True
-                sums = np.r_[0, np.cumsum(self.mark[part])]
-                self.mark[self.item_rows[item]] = False
-                a = np.arange(min(len(part), WORDS_AT_ONCE))
-                a = a[sums[np.minimum(a + self.wide(len(self.words[item])), len(part))] - sums[a] >= self.needs[item]]
-                if len(a):
-                    yield item, (at + a[np.r_[True, np.diff(a // (2 * STEP)) > 0]]).tolist()
-
-    def check(self, words: list[str], item: int, start: int) -> tuple[float, float]:
-        """The best (share of the item, share of its answer) in the windows about a passage."""
+    def near_passages(self, f: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """(text, item, first word in the text, cosine) as rows, of the passages near an item; texts as for ``text_hashes``."""
+        n = np.diff(offsets)
+        cells = -(-n // STEP)  # runs of STEP words; a passage is two of a text, or its only one
+        first = np.cumsum(cells) - cells
+        start = np.repeat(offsets[:-1] - first * STEP, cells) + np.arange(cells.sum()) * STEP
+        if not len(start) or not len(self.owners):
+            return np.zeros((4, 0))
+        square = np.add.reduceat(self.idf[f] ** 2, start, dtype=np.float64)
+        text = np.repeat(np.arange(len(n)), cells)
+        last = np.r_[text[1:] != text[:-1], True]
+        p = np.flatnonzero(~last | np.repeat(cells == 1, cells))
+        length = np.sqrt(square[p] + np.where(last[p], 0, square[np.minimum(p + 1, len(square) - 1)]))
+        size = np.minimum(start[p] + 2 * STEP, offsets[1:][text[p]]) - start[p]
+        out = []
+        for at in range(0, len(p), PASSAGES_AT_ONCE):
+            part = slice(at, at + PASSAGES_AT_ONCE)
+            a, m, far = start[p[part]], size[part], length[part]
+            words = f[np.repeat(a - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+            owner, rows = np.repeat(np.arange(len(a)), m), self.row[words]
+            here = rows >= 0
+            key, back = np.unique(owner[here] * len(self.used) + rows[here], return_inverse=True)
+            weight = np.bincount(back, self.idf[words[here]], len(key))
+            owner, rows = key // len(self.used), key % len(self.used)
+            within = np.minimum(np.sqrt(np.bincount(owner, weight**2, len(a))), np.bincount(owner, weight * self.most[rows], len(a)))
+            keep = (within * 1.0001 >= self.near * far)[owner]
+            owner, rows, weight = owner[keep], rows[keep], weight[keep]
+            if not len(owner):
+                continue
+            begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            sums = np.add.reduceat(self.basis[rows] * weight[:, None].astype(np.float32), begins, axis=0)
+            owner = owner[begins]
+            product = sums @ self.places.T
+            x, y = np.nonzero(product >= (self.near * far[owner])[:, None])
+            which = p[part][owner[x]]
+            out.append(np.stack([text[which], self.owners[y], start[which] - offsets[text[which]], product[x, y] / far[owner[x]]]))
+        return np.concatenate([np.zeros((4, 0)), *out], axis=1)
+
+    def rare_places(self, f: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """(text, item, first word in the text) as rows, where an item's rare words are close enough together."""
+        at = np.flatnonzero(self.starts[f] < self.starts[f + 1])
+        first, many = self.starts[f[at]], self.starts[f[at] + 1] - self.starts[f[at]]
+        item = self.holders[np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        place = np.repeat(at, many)
+        order = np.argsort(item, kind="stable")
+        item, place = item[order], place[order]
+        text = np.searchsorted(offsets, place, "right") - 1
+        other = np.arange(len(item)) + self.rare_needs[item] - 1  # the last of as many as there must be
+        here = other < len(item)
+        k, o = np.flatnonzero(here), other[here]
+        close = (item[k] == item[o]) & (text[k] == text[o]) & (place[o] - place[k] < self.wides[item[k]])
+        k = k[close]
+        # places of one item in one text less than a passage apart are one
+        group = (place[k] - offsets[text[k]]) // (2 * STEP)
+        new = np.r_[True, (item[k][1:] != item[k][:-1]) | (text[k][1:] != text[k][:-1]) | (group[1:] != group[:-1])] if len(k) else np.zeros(0, bool)
+        k = k[new]
+        return np.stack([text[k], item[k], place[k] - offsets[text[k]]])
+
+    def check(self, h: np.ndarray, item: int, start: int) -> tuple[float, float]:
+        """The best (share of the item, share of its answer) in the windows about a passage of the text with hashes ``h``."""
         mine, answer = self.words[item], self.answers[item]
-        wide = self.wide(len(mine))
-        low, high = max(0, start - wide), min(len(words), start + 2 * STEP + wide)
-        common, best, spare = self.sets[item], (0.0, 0.0), (1 - self.least) * len(mine)
-        if len(common.difference(words[low:high])) > spare:  # each costs a word of the subsequence
+        wide = int(self.wides[item])
+        low = max(0, start - wide)
+        words = h[low : start + 2 * STEP + wide].tolist()
+        common, best, spare = self.sets[item], (0.0, 0.0), (1 - self.least) * len(mine) + 1e-9
+        if len(common.difference(words)) > spare:  # each costs a word of the subsequence
             return best
-        for a in range(low, max(low + 1, high - wide // 2), max(1, len(mine) // 6)):
-            window = words[a : min(high, a + wide)]
+        for a in range(0, max(1, len(words) - wide // 2), max(1, len(mine) // 8)):
+            window = words[a : a + wide]
             if len(common.difference(window)) > spare:
                 continue
             share = lcs(mine, window) / len(mine)
@@ -281,29 +306,30 @@ class Matcher:
                 best = share, lcs(answer, window) / len(answer) if answer else 1.0
         return best
 
-    def match(self, text: str) -> list[tuple[int, float, float]]:
-        """(item id, cosine, share of the item) for every item that the text holds."""
-        words, found = words_of(text), {}
-        if not words or not self.ids:
+    def match(self, texts: pa.Array) -> list[tuple[int, int, float, float]]:
+        """(number of the text, item id, cosine, share of the item) for every item that a text holds."""
+        if not self.ids:
             return []
-        f = self.features.of(words)
-        sums, lengths = self.project(f)
-        for item, start, cosine in self.nearest(sums, lengths):
-            if item in found:
-                if found[item][0] < cosine:
-                    found[item] = cosine, found[item][1]
-                continue
-            share, answered = self.check(words, item, start)
-            if share >= self.least and answered >= LEAST_ANSWER:
-                found[item] = cosine, share
-        for item, starts in self.sharing(f):
-            for start in starts if item not in found else ():
-                share, answered = self.check(words, item, start)
-                if share >= self.least and answered >= LEAST_ANSWER:
-                    product = sums @ self.places[self.owners == item].T
-                    found[item] = float((product / lengths[:, None]).max(initial=0.0)), share
-                    break
-        return [(self.ids[k], c, s) for k, (c, s) in sorted(found.items())]
+        h, offsets = text_hashes(texts)
+        f = features_of(h)
+        near = self.near_passages(f, offsets)
+        cosines: dict[tuple[int, int], float] = {}
+        todo: dict[int, dict[tuple[int, int], None]] = {}
+        for text, item, start, cosine in zip(*(near[:3].astype(np.int64).tolist()), near[3].tolist(), strict=True):
+            cosines[text, item] = max(cosine, cosines.get((text, item), 0.0))
+            todo.setdefault(text, {})[item, start] = None
+        for text, item, start in zip(*self.rare_places(f, offsets).tolist(), strict=True):
+            todo.setdefault(text, {})[item, start] = None
+        found = []
+        for text in sorted(todo):
+            words, held = h[offsets[text] : offsets[text + 1]], {}
+            for item, start in todo[text]:
+                if item not in held:
+                    share, answered = self.check(words, item, start)
+                    if share >= self.least and answered >= LEAST_ANSWER:
+                        held[item] = share
+            found += [(text, self.ids[k], cosines.get((text, k), 0.0), held[k]) for k in sorted(held)]
+        return found
 
 
 def matchers(docs: DataFrame, benchmark: DataFrame):
@@ -329,10 +355,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(m)
 
         def run(batches, shared=shared):
-            for batch in in_pieces(batches, 500):
-                rows = [(d, *r) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in shared.value.match(t)]
+            for batch in in_blocks(batches):
+                rows = shared.value.match(batch.column(1))
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "cosine", "lcs"])
+                which = batch.column(0).take(pa.array(columns[0], pa.int64()))
+                rest = [pa.array(c, k) for c, k in zip(columns[1:], (pa.int64(), pa.float64(), pa.float64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([which, *rest], names=["doc_id", "item_id", "cosine", "lcs"])
 
         found = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, "doc_id bigint, item_id bigint, cosine double, lcs double")
         out = found if out is None else out.unionByName(found)
@@ -342,7 +370,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _holder(shared):
     @F.arrow_udf("boolean")
     def holds(texts: pa.Array) -> pa.Array:
-        return pa.array([bool(shared.value.match(t or "")) for t in texts.to_pylist()], pa.bool_())
+        out = np.zeros(len(texts), bool)
+        at = 0
+        for batch in in_blocks([pa.RecordBatch.from_arrays([texts], names=["text"])], 0):
+            out[[at + row[0] for row in shared.value.match(batch.column(0))]] = True
+            at += batch.num_rows
+        return pa.array(out)
 
     return holds
 

@@ -1,14 +1,14 @@
 """Token-id output compressed by Re-Pair grammars, one grammar per shard file.
 
 Documents are dealt to shards by ranges of doc_id, so shards in order hold the ids in order.  In a shard, frequent
-neighbouring ids are replaced by new symbols, round after round: each round counts all pairs, takes those above
-a least count, most frequent first, and replaces their occurrences from left to right.  The document end is
+neighbouring ids are replaced by new symbols, round after round, until no pair reaches the least count or no symbol is
+left: each round counts all pairs, takes the most frequent ones, and replaces them from left to right.  The document end is
 never part of a pair, so every document is its own run of symbols and can be decoded alone.  The file has the rules,
 the length that each symbol expands to, the symbols, and for each document its id and where its run begins.
 
 Layout, little-endian: b"GRPR", version, vocabulary size, rules m, documents d (u32 each), symbols n (u64);
-m x (left, right) u16; m lengths u32; d doc_ids i64; d flags u8 (1: null doc_id); d + 1 run starts u64;
-d + 1 id starts u64; n symbols u16.
+m x (left, right); m lengths u32; d doc_ids i64; d flags u8 (1: null doc_id); d + 1 run starts u64;
+d + 1 id starts u64; n symbols.  Symbols and rules are u16, or u32 where the vocabulary leaves too few of those.
 """
 
 from __future__ import annotations
@@ -23,26 +23,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm import files
-from gleaner.llm.common import checkpoint, in_pieces, whole_text
-from gleaner.llm.tokenizing import piece_ids
+from gleaner.llm.common import checkpoint, in_blocks, whole_text
+from gleaner.llm.tokenizing import text_ids, vocabulary_size
 
 END = 0
-SYMBOLS = 1 << 16
-#: New symbols of a round, rounds, and the least count that pays for a rule.
-PER_ROUND, ROUNDS, LEAST = 1500, 6, 8
+#: The least count that pays for a rule, and new symbols of a round: a share of those left, but so many at least.
+LEAST, PER_ROUND, ROUND_SHARE = 8, 1500, 5
+#: Symbols are 16 bits wide where that leaves this many for rules, else 32 bits, of which 24 are used.
+ROOM = 4096
 SHARD_IDS = 4_000_000
 _HEAD = struct.Struct("<4sIIIIQ")
 
 
-def compress(ids: np.ndarray, vocabulary: int, per_round: int = PER_ROUND, rounds: int = ROUNDS, least: int = LEAST):
-    """ids below ``vocabulary`` -> (symbols as u16, rules as an (m, 2) array; rule k makes symbol vocabulary + k)."""
-    seq = np.asarray(ids, dtype=np.uint32)
-    rules = np.zeros((0, 2), np.uint32)
-    for _ in range(rounds):
-        room = min(per_round, SYMBOLS - vocabulary - len(rules))
-        if len(seq) < 2 or room < 1:
-            break
-        keys = seq[:-1] << np.uint32(16) | seq[1:]
+def _symbols(vocabulary: int) -> tuple[int, str]:
+    """(how many symbols there may be, their type)."""
+    if vocabulary > 1 << 24:
+        raise ValueError(f"{vocabulary} ids leave no symbols for rules")
+    return (1 << 16, "<u2") if vocabulary + ROOM <= 1 << 16 else (1 << 24, "<u4")
+
+
+def compress(ids: np.ndarray, vocabulary: int, least: int = LEAST):
+    """ids below ``vocabulary`` -> (symbols, rules as an (m, 2) array; rule k makes symbol vocabulary + k).
+
+    Ends when no pair occurs ``least`` times, or no symbol is left for another rule.
+    """
+    most, kind = _symbols(vocabulary)
+    wide, shift = (np.uint32, np.uint32(16)) if kind == "<u2" else (np.uint64, np.uint64(24))
+    seq = np.asarray(ids).astype(wide)
+    if len(seq) and int(seq.max()) >= vocabulary:
+        raise ValueError(f"id {int(seq.max())} is not below {vocabulary}")
+    rules, n_rules = [np.zeros((0, 2), wide)], 0
+    while len(seq) > 1 and n_rules < most - vocabulary:
+        room = most - vocabulary - n_rules
+        keys = seq[:-1] << shift | seq[1:]
         free = (seq[:-1] != END) & (seq[1:] != END)
         ranked = np.sort(keys[free])
         starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, np.int64)
@@ -50,11 +63,13 @@ def compress(ids: np.ndarray, vocabulary: int, per_round: int = PER_ROUND, round
         often = np.flatnonzero(counts >= least)
         if not len(often):
             break
-        best = often[np.argsort(-counts[often], kind="stable")[:room]]
+        each = min(room, max(PER_ROUND, (most - vocabulary) // ROUND_SHARE if kind == "<u2" else len(often) // ROUND_SHARE))
+        best = often[np.argsort(-counts[often], kind="stable")[:each]]
         chosen = np.sort(ranked[starts[best]])
-        left = np.zeros(SYMBOLS, bool)
-        left[chosen >> np.uint32(16)] = True
-        at = np.flatnonzero(free & left[seq[:-1]])
+        left, right = np.zeros(vocabulary + n_rules, bool), np.zeros(vocabulary + n_rules, bool)
+        left[chosen >> shift] = True
+        right[chosen & ((wide(1) << shift) - wide(1))] = True
+        at = np.flatnonzero(left[seq[:-1]] & right[seq[1:]])
         place = np.searchsorted(chosen, keys[at])
         hit = chosen[np.minimum(place, len(chosen) - 1)] == keys[at]
         at, place = at[hit], place[hit]
@@ -62,12 +77,19 @@ def compress(ids: np.ndarray, vocabulary: int, per_round: int = PER_ROUND, round
         run = np.flatnonzero(np.r_[True, np.diff(at) > 1])
         inside = np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))
         at, place = at[inside % 2 == 0], place[inside % 2 == 0]
-        seq[at] = vocabulary + len(rules) + place
+        # a pair that others of its round took apart may be left with too few places: it gets no rule
+        used = np.bincount(place, minlength=len(chosen)) >= 2
+        at, place = at[used[place]], place[used[place]]
+        if not len(at):
+            break
+        chosen, place = chosen[used], (np.cumsum(used) - 1)[place]
+        seq[at] = (vocabulary + n_rules + place).astype(wide)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-        rules = np.concatenate([rules, np.stack([chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)], axis=1)])
-    return seq.astype("<u2"), rules.astype("<u2")
+        rules.append(np.stack([chosen >> shift, chosen & ((wide(1) << shift) - wide(1))], axis=1))
+        n_rules += len(chosen)
+    return seq.astype(kind), np.concatenate(rules).astype(kind)
 
 
 def expansions(vocabulary: int, rules: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,12 +146,13 @@ class Shard:
             at += found.nbytes
             return found
 
-        self.rules = take("<u2", 2 * m).reshape(m, 2)
+        kind = _symbols(self.vocabulary)[1]
+        self.rules = take(kind, 2 * m).reshape(m, 2)
         self.lengths = take("<u4", m)
         ids, null = take("<i8", d).tolist(), take("u1", d).tolist()
         self.doc_ids = [None if z else i for i, z in zip(ids, null, strict=True)]
         self.runs, self.starts = take("<u8", d + 1).astype(np.int64), take("<u8", d + 1).astype(np.int64)
-        self.symbols = take("<u2", n)
+        self.symbols = take(kind, n)
         self._grammar = expansions(self.vocabulary, self.rules)
         if not np.array_equal(self._grammar[2][self.vocabulary :], self.lengths):
             raise ValueError("expansion lengths disagree with the rules")
@@ -149,16 +172,16 @@ def _write(tokenizer: str, folder: str, vocabulary: int, shard_ids: int):
     def run(batches):
         part, piece, size = TaskContext.get().partitionId(), 0, 0
         doc_ids, docs = [], []
-        encoder = piece_ids(tokenizer)
+        encoder, end = text_ids(tokenizer), np.array([END], np.uint32)
 
         def flush():
             path = f"{folder}/shard-{part:06d}-{piece:04d}.grpr"
             files.put(path, pack(doc_ids, docs, vocabulary))
             return pa.RecordBatch.from_pylist([{"part": part, "piece": piece, "path": path, "n_docs": len(docs), "n_ids": size}], schema=_MANIFEST_ARROW)
 
-        for batch in in_pieces(batches, 500):
-            for d, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
-                docs.append(np.frombuffer(ids + b"\0\0\0\0", "<u4"))
+        for batch in in_blocks(batches):
+            for d, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                docs.append(np.concatenate([encoder.encode(text.as_py()), end]))
                 doc_ids.append(d)
                 size += len(docs[-1])
                 if size >= shard_ids:
@@ -173,7 +196,7 @@ def _write(tokenizer: str, folder: str, vocabulary: int, shard_ids: int):
 _MANIFEST_ARROW = pa.schema([("part", pa.int32()), ("piece", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, vocabulary: int = 50_257, shard_ids: int = SHARD_IDS) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encode every whole text, END after each, into shards below ``folder``; returns the list of files in order.
 
     Rows are ordered by doc_id, nulls first, then by text.  A null text is empty and has END alone; repeated rows
@@ -182,7 +205,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, vocabulary:
     """
     narrow = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
     ranged = narrow.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return checkpoint(ranged.mapInArrow(_write(tokenizer_path, folder, vocabulary, shard_ids), MANIFEST))
+    return checkpoint(ranged.mapInArrow(_write(tokenizer_path, folder, vocabulary_size(tokenizer_path), shard_ids), MANIFEST))
 
 
 def _read(batches):

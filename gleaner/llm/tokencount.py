@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import as_bytes, checkpoint, in_pieces, whole_text
+from gleaner.llm.common import checkpoint, in_blocks, whole_text
 from gleaner.llm.tokenizing import piece_counts, version
 
 SCHEMA = "tokenizer string, digest binary, n_tokens bigint"
@@ -50,11 +50,11 @@ def _once_per_task(batches):
 def _count_once(path: str):
     def run(batches):
         counter, tokenizer, done = piece_counts(path), version(path), set()
-        for batch in in_pieces(batches, 500):
-            digests, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
-            new = {d: t for d, t in zip(digests, texts, strict=True) if d not in done}
+        for batch in in_blocks(batches):
+            digests = batch.column(0).to_pylist()
+            new = {d: k for k, d in enumerate(digests) if d not in done}
             done.update(new)
-            counts = counter.count(list(new.values()))
+            counts = counter.count(batch.column(1).take(pa.array(list(new.values()), pa.int64())))
             yield pa.RecordBatch.from_arrays([pa.array([tokenizer] * len(new), pa.string()), pa.array(list(new), pa.binary()), pa.array(counts, pa.int64())], names=["tokenizer", "digest", "n_tokens"])
 
     return run

@@ -1,28 +1,28 @@
-"""Exact token ids and counts through the tokenizers library, encoding each distinct piece of text once a worker.
+"""Exact token ids and counts, those of the tokenizers library.
 
-A text is cut only where its tokenizer cuts it anyway, so the ids of the pieces, one after the other, are those of
-the whole text.  Pieces are kept in a table of bounded size in the Python worker; the library encodes what isn't
-in it.  Nothing is truncated, padded or added; special strings inside a text are handled as the library does.
+For counts a text is cut only where its tokenizer cuts it anyway, and each distinct piece of a block of texts is
+encoded once; pieces are forgotten with their block, so a worker keeps nothing from block to block.  Nothing is
+truncated, padded or added; special strings inside a text are handled as the library does.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
-from tokenizers import Tokenizer
+import pyarrow as pa
+import tiktoken
+from tokenizers import Tokenizer, pre_tokenizers
 
-#: Pieces that a worker keeps, in two generations: what the last generation had and the present one uses moves on.
-#: At about 250 bytes each this stays near 100 MB.
-MOST_PIECES = 400_000
-_SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_LOOSE_LINE = re.compile(r"^\n|\n$|\s\n|\n\s")
-_ODD = re.compile(r"\s|<\|")
-_TOGETHER = 100
+from gleaner.llm.common import tokens
+
+_TOGETHER = 200
+#: The character that stands for the line feed's byte in a byte-level vocabulary; no piece without line feeds has it.
+_FEED = "Ċ"
 
 
 @lru_cache(maxsize=4)
@@ -45,6 +45,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id."""
+    return max(load(path).get_vocab(with_added_tokens=True).values()) + 1
+
+
 def ids_of(path: str, texts: list[str]) -> list[list[int]]:
     return [e.ids for e in load(path).encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -61,85 +66,81 @@ def _between(ids: list[int], mark: int) -> list[np.ndarray]:
     return [found[a:b] for a, b in zip(np.r_[0, at + 1].tolist(), [*at.tolist(), len(found)], strict=True)]
 
 
-def _encode_words(path: str, words: list[str], before: str, joint: str, mark: int) -> list[np.ndarray]:
-    """The ids of words without white space or the joint's character, many at a time: the joint stays one token,
-    the mark, which no such word contains."""
-    groups = [words[i : i + _TOGETHER] for i in range(0, len(words), _TOGETHER)]
-    joined = [joint.join([before + w for w in g]) for g in groups]
-    return [w for ids in ids_of(path, joined) for w in _between(ids, mark)]
+def _byte_letters() -> dict[int, str]:
+    """The character that a byte-level vocabulary has for each byte: its own where that can be seen, else one from 256 on."""
+    seen = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    rest = [b for b in range(256) if b not in set(seen)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
 
 
-class Kept:
-    """What is known of pieces, in two generations of bounded size."""
+@lru_cache(maxsize=4)
+def _merging(path: str) -> Tokenizer:
+    """The library's tokenizer without what it does before it merges, for pieces that it would not cut or change."""
+    found = Tokenizer.from_file(path)
+    found.no_truncation()
+    found.no_padding()
+    found.normalizer = None
+    found.pre_tokenizer = pre_tokenizers.Split(_FEED, "isolated")
+    return found
+
 
-    def __init__(self):
-        self.now, self.old = {}, {}
+def _letters_ids(path: str, pieces: list[str]) -> list[np.ndarray]:
+    """The ids of pieces of letters alone, many at a time."""
+    written = [p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_LETTERS) for p in pieces]
+    joined = [_FEED.join(written[i : i + _TOGETHER]) for i in range(0, len(written), _TOGETHER)]
+    mark = _merging(path).encode(_FEED, add_special_tokens=False).ids[0]
+    return [w for e in _merging(path).encode_batch_fast(joined, add_special_tokens=False) for w in _between(e.ids, mark)]
 
-    def turn(self) -> None:
-        if len(self.now) > MOST_PIECES // 2:
-            self.now, self.old = {}, self.now
 
-    def missing(self, pieces: set) -> set:
-        """The pieces that aren't known; those of the old generation move on."""
-        unknown = pieces.difference(self.now)
-        again = unknown.intersection(self.old) if self.old else set()
-        self.now.update((p, self.old[p]) for p in again)
-        return unknown - again
+def _encode_words(path: str, words: list[str], joint: str, mark: int) -> list[np.ndarray]:
+    """The ids of words without white space or the joint's character, many at a time: the joint stays one token,
+    the mark, which no such word contains."""
+    joined = [joint.join(words[i : i + _TOGETHER]) for i in range(0, len(words), _TOGETHER)]
+    return [w for ids in ids_of(path, joined) for w in _between(ids, mark)]
 
 
-class PieceIds:
-    """Ids of whole texts under a byte-level BPE that takes at most one space in front of a piece.
+class TextIds:
+    """Ids of whole texts, those that the tokenizers library gives.
 
-    A space between two characters that aren't white space always begins a new piece, and so does a line feed
-    between two such; other white space is left inside the pieces, for the library.
+    Where a file has a byte-level BPE with the usual cuts and nothing before or after it, as ``plain`` finds, its
+    merges are those of the vocabulary's order, which the tiktoken library applies in a quarter of the time; a text
+    that it gives up on (very long white space), and any other file, is encoded by the tokenizers library itself.
     """
 
     def __init__(self, path: str):
-        self.path = path
-        self.first = Kept()  # ids of pieces without a space in front
-        self.later = Kept()  # and of those with one
-        self.marks = {c: self._ids([c])[0] for c in ".,\n"}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(i, dtype="<u4").tobytes() for i in ids_of(self.path, texts)]
-
-    def _learn_words(self, known: Kept, words: set[str], before: str) -> None:
-        stems = {w[:-1] if _ends_a_word(w) else w for w in words}
-        new = known.missing(stems)
-        plain = [w for w in new if not _ODD.search(w)]
-        odd = [w for w in new if _ODD.search(w)]
-        if plain:
-            mark = int(np.frombuffer(self.marks["\n"], "<u4")[0])
-            found = [x.tobytes() for x in _encode_words(self.path, plain, before, "\n", mark)]
-            known.now.update(zip(plain, found, strict=True))
-        known.now.update(zip(odd, self._ids([before + w for w in odd]), strict=True))
-        known.now.update({w: known.now[w[:-1]] + self.marks[w[-1]] for w in words if w not in known.now})
-
-    def _learn(self, later: set[str], first: set[str]) -> None:
-        lines = {p: p.split("\n") for p in later | first if "\n" in p and not _LOOSE_LINE.search(p)}
-        later_words = {lines[p][0] if p in lines else p for p in later}
-        first_words = {lines[p][0] if p in lines else p for p in first} | {w for x in lines.values() for w in x[1:]}
-        self._learn_words(self.later, later_words, " ")
-        self._learn_words(self.first, first_words, "")
-        feed = self.marks["\n"]
-        for known, pieces in ((self.later, later), (self.first, first)):
-            known.now.update({p: feed.join([known.now[lines[p][0]], *(self.first.now[w] for w in lines[p][1:])]) for p in pieces if p in lines})
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        self.later.turn()
-        self.first.turn()
-        cut = [text.split(" ") for text in texts]
-        unknown = self.later.missing(set().union(*[p[1:] for p in cut]))
-        loose = {p for p in unknown if not p or p[0].isspace() or p[-1].isspace()}
-        unknown -= loose
-        for k, parts in enumerate(cut):
-            if len(parts) > 1 and (not parts[0] or parts[0][-1].isspace() or not loose.isdisjoint(parts[1:])):
-                cut[k] = _SAFE_SPACE.split(texts[k])
-                unknown |= self.later.missing(set(cut[k][1:]))
-        self._learn(unknown, self.first.missing({p[0] for p in cut}))
-        later, first = self.later.now.__getitem__, self.first.now.__getitem__
-        return [first(p[0]) + b"".join(map(later, p[1:])) for p in cut]
+        self.path, self.fast = path, None
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        if self.plain(told):
+            special = {t["content"]: t["id"] for t in told["added_tokens"]}
+            bytes_of = {c: b for b, c in _BYTE_LETTERS.items()}
+            ranks = {bytes(map(bytes_of.__getitem__, t)): i for t, i in told["model"]["vocab"].items() if t not in special}
+            self.fast = tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    @staticmethod
+    def plain(told: dict) -> bool:
+        """Whether nothing but the usual cuts and merges in the order of the vocabulary happens to a text."""
+        model, cuts = told["model"], told["pre_tokenizer"] or {}
+        if told["normalizer"] or told["post_processor"] or cuts != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
+            return False
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in told["added_tokens"]):
+            return False
+        if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")):
+            return False
+        merged = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+        ordinary = set(model["vocab"]) - {t["content"] for t in told["added_tokens"]}
+        return None not in merged and merged == sorted(merged) and len(merged) + 256 == len(ordinary)
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.fast is not None:
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special="all")
+            except ValueError:
+                pass
+        return np.array(ids_of(self.path, [text])[0], np.uint32)
 
 
 class PieceCounts:
@@ -151,37 +152,35 @@ class PieceCounts:
     """
 
     def __init__(self, path: str):
-        self.path, self.known = path, Kept()
+        self.path = path
         self.mark = ids_of(path, ["|"])[0][0]
 
-    def _learn(self, missing: set[bytes]) -> None:
-        known, forms = self.known, {}
-        for p in missing:
-            s = p.decode()
-            if max(s) < "ɐ" and "İ" not in s and "<|" not in s:
+    def _learn(self, words: list[str]) -> np.ndarray:
+        letters, plain, odd, forms = {}, {}, {}, []
+        for s in words:
+            stop = 0
+            if s and max(s) < "ɐ" and "İ" not in s and "<|" not in s:
                 s = s.lower()
-                forms[p] = (s[:-1].encode(), 1) if _ends_a_word(s) else (s.encode(), 0)
+                if _ends_a_word(s):
+                    s, stop = s[:-1], 1
+                kind = letters if s.isalpha() and s.islower() else plain if s.isascii() and "|" not in s else odd
             else:
-                forms[p] = (p, 0)
-        new = known.missing({s for s, _ in forms.values()})
-        plain = [s for s in new if s.isascii() and b"|" not in s or s.decode().isalpha()]
-        odd = list(new.difference(plain))
-        found = _encode_words(self.path, [s.decode() for s in plain], "", " | ", self.mark) if plain else []
-        known.now.update(zip(plain, map(len, found), strict=True))
-        known.now.update(zip(odd, map(len, ids_of(self.path, [s.decode() for s in odd])), strict=True))
-        known.now.update({p: known.now[s] + stop for p, (s, stop) in forms.items()})
-
-    def count(self, texts: list[bytes]) -> list[int]:
-        self.known.turn()
-        cut = [t.split() for t in texts]
-        self._learn(self.known.missing(set().union(*cut)))
-        known = self.known.now.__getitem__
-        return [sum(map(known, parts)) for parts in cut]
+                kind = plain if s.isalpha() else odd
+            forms.append((s, stop))
+            kind[s] = 0
+        known = dict(zip(letters, map(len, _letters_ids(self.path, list(letters))), strict=True))
+        known.update(zip(plain, map(len, _encode_words(self.path, list(plain), " | ", self.mark)), strict=True))
+        known.update(zip(odd, map(len, ids_of(self.path, list(odd))), strict=True))
+        return np.fromiter((known[s] + stop for s, stop in forms), np.int64, len(forms))
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        offsets, codes, words = tokens(texts)
+        return np.diff(np.r_[0, np.cumsum(self._learn(words.to_pylist())[codes])][offsets])
 
 
 @lru_cache(maxsize=2)
-def piece_ids(path: str) -> PieceIds:
-    return PieceIds(path)
+def text_ids(path: str) -> TextIds:
+    return TextIds(path)
 
 
 @lru_cache(maxsize=2)

@@ -1,10 +1,10 @@
 """Toxicity by two Kneser-Ney models, one of toxic and one of ordinary documents.
 
 The models are over the characters of a word with its ends, up to five at a time, so an expression is known by
-itself or by what it is built from.  Orders three to five count each class on its own, with absolute discounting;
-what they take from seen characters goes to the next lower order.  Orders one and two are shared: continuation
-counts (how many different characters precede) of both classes together, so that rare expressions get the same
-probability from either model.  A document's features are length-normalised: the mean over its words of the
+itself or by what it is built from.  Orders three to five are each class's own: the longest by its counts, the others
+by continuation counts (before how many different characters), with absolute discounting; what they take from seen
+characters goes to the next lower order.  Orders one and two are shared: continuation counts of both classes together,
+so that rare expressions get the same probability from either model.  A document's features are length-normalised: the mean over its words of the
 log-likelihood ratio, the mean and sum of what words have beyond a margin, and the log of the length; a logistic
 fit on labelled rows that gave no counts turns them into a score.
 
@@ -21,16 +21,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import in_pieces, signed, whole_text
+from gleaner.llm.common import in_blocks, in_pieces, signed, whole_text, words_in
 
 ORDER, SHARED_ORDER = 5, 2
 DISCOUNT = 0.75
 ALPHABET = 4096
 MARGIN, MOST = 1.5, 10.0
-#: Labelled rows of the fitting fold that the logistic fit reads, those with the smallest hash of doc_id.
+#: Labelled documents of the fitting fold that the logistic fit reads, those with the smallest hash of doc_id.
 FIT_ROWS = 50_000
 #: Labels up to this number of rows are broadcast (about 50 bytes each); more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
@@ -99,7 +100,6 @@ class Model:
     grams: list[np.ndarray]
     values: list[np.ndarray]
     weights: np.ndarray = field(default_factory=lambda: np.zeros(5))
-    known: dict[str, float] = field(default_factory=dict)
 
     def values_of(self, k: int, grams: np.ndarray) -> np.ndarray:
         """The rows of n-grams of order k; one that isn't there has no share and leaves all to the lower order."""
@@ -123,23 +123,17 @@ class Model:
         ratio = np.where(place > 0, np.log(p[1]) - np.log(p[0]), 0.0)
         return np.clip(np.bincount(word, ratio, len(words)), -MOST, MOST)
 
-    def features(self, texts: list[str]) -> np.ndarray:
-        found = [words_of(t) for t in texts]
-        if len(self.known) > _WORDS_KEPT:
-            self.known.clear()
-        new = list({w for ws in found for w in ws if w not in self.known})
-        for at in range(0, len(new), _WORDS_AT_ONCE):
-            part = new[at : at + _WORDS_AT_ONCE]
-            self.known.update(zip(part, self.word_ratios(part).tolist(), strict=True))
-        get, out = self.known.__getitem__, np.zeros((len(texts), 4))
-        for k, ws in enumerate(found):
-            if ws:
-                x = np.fromiter(map(get, ws), float, len(ws))
-                beyond = float(np.maximum(x - MARGIN, 0).sum())
-                out[k] = x.mean(), beyond / len(ws), beyond, math.log1p(len(ws))
-        return out
-
-    def scores(self, texts: list[str]) -> np.ndarray:
+    def features(self, texts: pa.Array) -> np.ndarray:
+        """Four numbers for each text; a text without words has zeros."""
+        number, offsets, words = words_in(texts, _WORD, pc.utf8_is_alpha)
+        ratios = [self.word_ratios(words[at : at + _WORDS_AT_ONCE]) for at in range(0, len(words), _WORDS_AT_ONCE)]
+        x = np.concatenate([np.zeros(0), *ratios])[number]
+        n = np.diff(offsets)
+        sums = [np.diff(np.r_[0, np.cumsum(v)][offsets]) for v in (x, np.maximum(x - MARGIN, 0))]
+        each = np.maximum(n, 1)
+        return np.stack([sums[0] / each, sums[1] / each, sums[1], np.log1p(n)], axis=1)
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
         z = np.c_[self.features(texts), np.ones(len(texts))] @ self.weights
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -159,6 +153,15 @@ def model_of(rows: pa.Table) -> Model:
             before = np.zeros(len(grams[k]))
             before[np.searchsorted(grams[k], seen)] = n
             counts = [np.maximum(before[mine], 1)] * 2
+        elif k < ORDER:
+            # each class's continuation counts; what only begins words counts as often as it is there
+            counts, longer = [], of[k + 1]
+            always = np.isin(column["gram"][of[k]], column["suffix"][longer])
+            for c in ("ordinary", "toxic"):
+                seen, n = np.unique(column["suffix"][longer & (column[c] > 0)], return_counts=True)
+                before = np.zeros(len(grams[k]))
+                before[np.searchsorted(grams[k], seen)] = n
+                counts.append(np.where(always, before[mine], column[c][of[k]]))
         else:
             counts = [column["ordinary"][of[k]], column["toxic"][of[k]]]
         for c, n in enumerate(counts):
@@ -191,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: tuple[int, ...] = (1, 2, 3)
     """Counts from the labelled rows of ``folds``, the logistic fit from those of ``fit_fold``.
 
     A document with two labels counts as toxic if one says so; null labels don't count.  Without both classes in
-    the fit, the score is one half below nothing: the share of toxic rows, or 0 without rows.
+    the fit, every score is near 1 if all its rows are toxic, else near 0.
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     marks = marks.where(fold(F.col("doc_id")).isin(*folds, fit_fold))
@@ -203,12 +206,13 @@ def train(docs: DataFrame, labels: DataFrame, folds: tuple[int, ...] = (1, 2, 3)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def fit(batches):
-        for batch in in_pieces(batches, 500):
-            found = shared.value.features(batch.column(1).to_pylist())
+        for batch in in_blocks(batches):
+            found = shared.value.features(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *map(pa.array, found.T)], names=["doc_id", "toxic", *"abcd"])
 
-    fitting = rows.where(fold(F.col("doc_id")) == fit_fold).select("doc_id", "text", "toxic")
-    sample = fitting.mapInArrow(fit, "doc_id bigint, toxic int, a double, b double, c double, d double").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).toArrow()
+    few = marks.where(fold(F.col("doc_id")) == fit_fold).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    fitting = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).join(F.broadcast(few), "doc_id").select("doc_id", "text", "toxic")
+    sample = fitting.mapInArrow(fit, "doc_id bigint, toxic int, a double, b double, c double, d double").orderBy("doc_id", *"abcd").toArrow()
     x = np.stack([sample.column(c).to_numpy() for c in "abcd"], axis=1)
     y = sample.column("toxic").to_numpy()
     if len(y) and 0 < y.mean() < 1:
@@ -224,8 +228,8 @@ def scorer(spark, model: Model):
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        listed = texts.to_pylist()
-        return pa.array(np.concatenate([shared.value.scores([t or "" for t in listed[i : i + 500]]) for i in range(0, len(listed), 500)] or [np.zeros(0)]))
+        blocks = in_blocks([pa.RecordBatch.from_arrays([texts], names=["text"])], 0)
+        return pa.array(np.concatenate([np.zeros(0), *(shared.value.scores(b.column(0)) for b in blocks)]))
 
     return score
 

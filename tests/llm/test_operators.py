@@ -1,5 +1,6 @@
 """Edge cases of every operator: nulls, empty and odd texts, repeated rows, empty tables, clashing extra columns."""
 
+import hashlib
 import re
 import zlib
 
@@ -131,12 +132,21 @@ def test_toxicity_counts_of_many_words():
     rows = [tuple(r.values()) for b in toxicity._count_rows(words) for r in b.to_pylist()]
     assert len({r[:2] for r in rows if r[0] == 5}) == len({w[a : a + 5] for w in (f"\2{x}\3" for x in words) for a in range(len(w) - 4)})
     model = toxicity.model_of(pa.Table.from_batches(toxicity._count_rows(words)))
-    for g in ("vile", "lout", "elou"):
+    for g in ("vilel", "elout"):
         _, place, grams = toxicity._grams([g])
-        share = model.values_of(4, grams[4])[np.flatnonzero(place == 4)][:, :2]
+        share = model.values_of(5, grams[5])[np.flatnonzero(place == 5)][:, :2]
         assert share[0, 0] == 0 and share[0, 1] == pytest.approx((50 - toxicity.DISCOUNT) / 50)
 
 
+def test_toxicity_lower_orders_count_what_comes_before():
+    words = {"xabcd": [0, 9], "yabcd": [0, 1], "zabce": [0, 1], "xabce": [3, 0], "abcq": [0, 4]}
+    model = toxicity.model_of(pa.Table.from_batches(toxicity._count_rows(words)))
+    _, place, grams = toxicity._grams(["abcd"])
+    (share,) = model.values_of(4, grams[4])[np.flatnonzero(place == 4)]
+    # toxic: "abcd" after x and y, "abce" after z, "abcq" at the beginning of its word: after its mark
+    assert share[1] == pytest.approx((2 - toxicity.DISCOUNT) / 4) and share[0] == 0
+
+
 def test_leaks(spark, docs):
     rng = np.random.default_rng(5)
     item = [f"q{k}" for k in range(30)]
@@ -235,12 +245,33 @@ def test_ibans_before_other_words(spark):
         assert [x.found for x in r.iban] == want and all(text[x.start : x.end] == x.found for x in r.iban)
 
 
-def test_token_counts_of_special_strings():
-    from gleaner.llm.tokenizing import PieceCounts
+def test_pii_equals_brute_force(spark):
+    """Every base kind by its definition, on texts made of pieces that its patterns meet at their edges."""
+    rng, pieces = np.random.default_rng(8), ["0.0.0.0", "10.0.0.1", "00.1.2.3", "010.1.2.3", "256.1.1.1", "1.2.3.4.5", "0", "00", "255", ".", "@", "a", "a.b", "b-c", "+", "+1 (0) 23", "4111 1111-1111 1111", "4111111111111112", " ", "-", "(", ")", "é", "𝒳", "9", "x@y.zz", "..", ",", "_%"]
+    texts = ["".join(rng.choice(pieces, int(rng.integers(0, 14)))) for _ in range(3000)] + [None, "", "10.0.0.1", "127.0.0.1 0.0.0.0"]
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+    fits = {"email": lambda m, d: True, "ip": lambda m, d: all(int(p) <= 255 for p in m.split(".")), "card": lambda m, d: 13 <= len(d) <= 19 and luhn(d), "phone": lambda m, d: 9 <= len(d) <= 15}
+    got = pii.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        spans, n = [], {}
+        for k in pii.KINDS[:4]:
+            found = [m for m in re.finditer(k.plain, texts[r.doc_id] or "") if fits[k.name](m[0], re.sub("[^0-9]", "", m[0]))]
+            spans += [f"{k.name}:{m.start()}:{m.end()}" for m in found]
+            n[f"n_{k.name}"] = len(found)
+        assert {c: r[c] for c in n} == n and r.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest(), texts[r.doc_id]
+
+
+def test_token_counts_equal_the_library():
+    from gleaner.llm.tokenizing import PieceCounts, TextIds
 
-    path = vocabulary("word_bpe_49k.json")
-    texts = ["<|ENDOFTEXT|>", "a<|EndOfText|>", "<|endoftext|>", "Say <|StartOfText|> now.", "A<|b"]
-    assert PieceCounts(path).count([t.encode() for t in texts]) == [len(x) for x in ids_of(path, texts)]
+    rng, word, byte = np.random.default_rng(12), vocabulary("word_bpe_49k.json"), vocabulary("byte_bpe_50k.json")
+    pieces = ["a", " ", "  ", "\n", "\n\n", "\t", "\r\n", "Word", "word.", "x,", "é", "e\u0301", "ñandú", "İ", "ǅ", "ß", "1", "12a", "'s", "it's", "I'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|", "|", "_", "...", "—", "\u00a0", "\u2009", "\x1c", "\x85", "日本", "🙂", "ﬁ", "Ⅷ", "Ċ", "Ġ", "’s", ".", ",", "\x00", "Σ", "ς", "Ж", "ب"]
+    texts = ["".join(rng.choice(pieces, int(rng.integers(0, 14)))) for _ in range(4000)] + ["", "<|ENDOFTEXT|>", " " * 300_000 + "b", "a" * 50_000]
+    assert PieceCounts(word).count(pa.array(texts)).tolist() == [len(x) for x in ids_of(word, texts)]
+    ids = TextIds(byte)
+    assert ids.fast is not None and [ids.encode(t).tolist() for t in texts] == ids_of(byte, texts)
+    assert TextIds(word).fast is None and TextIds(word).encode("Two words").tolist() == ids_of(word, ["Two words"])[0]
 
 
 def test_token_counts_use_the_cache(spark, docs, tmp_path):
@@ -264,12 +295,36 @@ def test_shards(docs, tmp_path):
     assert repair.write_shards(docs.limit(0), path, f"file://{tmp_path}/e").count() == 0
 
 
+@pytest.mark.parametrize("vocabulary_size", [50_257, 100_000])
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 5000])
-def test_grammar(n):
-    for kinds in (2, 40, 5000):
-        ids = np.random.default_rng(n).zipf(1.3, n) % kinds
-        symbols, rules = repair.compress(ids, 50_257)
-        assert np.array_equal(repair.expand(symbols, *repair.expansions(50_257, rules)), ids)
+def test_grammar(n, vocabulary_size):
+    for kinds in (2, 40, 5000, vocabulary_size):
+        ids = vocabulary_size - 1 - np.random.default_rng(n).zipf(1.3, n) % kinds
+        symbols, rules = repair.compress(ids, vocabulary_size)
+        assert np.array_equal(repair.expand(symbols, *repair.expansions(vocabulary_size, rules)), ids)
+    with pytest.raises(ValueError):
+        repair.compress(np.array([vocabulary_size]), vocabulary_size)
+
+
+def test_grammar_goes_on_while_it_can():
+    ids = np.random.default_rng(3).zipf(1.2, 60_000) % 3000 + 1
+    symbols, rules = repair.compress(ids, 50_257)
+    pairs = symbols[:-1].astype(np.int64) << 16 | symbols[1:]
+    most = np.unique(pairs, return_counts=True)[1].max()
+    assert most < repair.LEAST or len(rules) == (1 << 16) - 50_257
+    assert len(rules) > 500
+
+
+def test_sizes_equal_a_plain_count(spark):
+    import time
+
+    rng, pieces = np.random.default_rng(9), ["a", "é", " ", "  ", "\t", "\n", "\x0b", "\x0c", "\r", "\x85", "\u2028", "\u2029", "\u00a0", "\x1c"]
+    texts = ["".join(rng.choice(pieces, int(rng.integers(0, 9)))) for _ in range(2000)] + [None, "", "abc \u0085", "abc \u2028", "a" + " " * 1_000_000 + "b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r.n for r in df.select("doc_id", mixing.size_of(F.col("text")).alias("n")).collect()}
+    assert time.time() - began < 60
+    assert got == {k: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for k, t in enumerate(texts)}
 
 
 def test_packages(spark, tmp_path):
