@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import decontaminate, mixing, pii, repair, simhash, tokencount, toxicity, urlfilter, warc, webp
+from gleaner.llm import decontaminate, media, mixing, pii, repair, simhash, tokencount, toxicity, urlfilter, warc
 from gleaner.llm.common import fresh_dir
 from gleaner.llm.tokenizing import vocabulary
 
@@ -75,7 +75,7 @@ FROM p LEFT JOIN g ON sha1(p.html) = g.payload_digest
 
 
 def op9_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return webp.features(webp.to_media(_table(spark, sf_dir, "documents")))
+    return media.features(media.to_media(_table(spark, sf_dir, "documents")))
 
 
 def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

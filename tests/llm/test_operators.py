@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleaner.llm import components, decontaminate, hamming, mixing, pii, repair, simhash, tokencount, toxicity, urlfilter, warc, webp
+from gleaner.llm import components, decontaminate, hamming, media, mixing, pii, repair, simhash, tokencount, toxicity, urlfilter, warc
 from gleaner.llm.tokenizing import ids_of, vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, node long, size long, copies long, score double"
@@ -360,8 +360,13 @@ def test_zip64_directory(tmp_path):
 
 
 def test_media(docs):
-    rows = counted(webp.features(webp.to_media(docs)), docs)
-    assert all(r.payload_bytes % 64 == 0 and r.payload_bytes >= max(64, r.n_bytes) for r in rows)
+    rows = counted(media.features(media.to_media(docs)), docs)
+    texts = dict(enumerate(TEXTS)) | {None: "one"}
+    for r in rows:
+        text = (texts[r.doc_id] or "").encode()
+        payload = text + bytes(-len(text) % 64 or (0 if text else 64))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     assert len({r.media_sha256 for r in rows}) == len({t or "" for t in TEXTS})
-    one = webp.pixel_arrays(webp.to_media(docs.where("doc_id = 3"))).first()
-    assert one.pixels.samples == b"one" + bytes(61) and (one.pixels.height, one.pixels.width) == (1, 16)
+    assert counted(media.features(media.to_media(docs.limit(0))), docs.limit(0)) == []
+    one = media.pixel_arrays(media.to_media(docs.where("doc_id = 3"))).first()
+    assert one.pixels.samples == b"".join(bytes([c, c, c, 255]) for c in b"one" + bytes(61)) and (one.pixels.height, one.pixels.width) == (1, 64)
