@@ -1,8 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Each step is a grouped minimum and a join, so neither edges nor components come to the driver and no task
-gathers a node's neighbours: a hub's rows are only joined with its minimum, and adaptive execution may split
-such a join.  Every round is checkpointed to the shared folder.
+gathers a node's neighbours: a hub's rows are only joined with its minimum, in a join that deals both sides out
+itself, as adaptive execution can split a hub's rows in no other.  Every round is checkpointed to the shared folder.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import checkpoint
+from gleaner.llm.common import checkpoint, regrouped
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -24,9 +24,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(regrouped(least, "u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(regrouped(least, "u"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = checkpoint(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         before, state = state, now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if before == state:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import as_bytes, checkpoint, in_pieces, signed, whole_text
+from gleaner.llm.common import as_bytes, checkpoint, in_pieces, regrouped, signed, whole_text
 from gleaner.llm.components import connected_components
 from gleaner.llm.hamming import RADIUS, hamming_links, merge
 
@@ -79,7 +79,7 @@ def fingerprint_components(docs: DataFrame, words: int = WORDS, radius: int = RA
     classes = connected_components(links)
     named = nodes.join(classes, nodes["id"] == classes["node"], "left").select("print", "first", F.coalesce("component", "id").alias("class"))
     smallest = named.groupBy("class").agg(F.min("first").alias("component_id"))
-    named = checkpoint(named.join(smallest, "class").select("print", "component_id"))
+    named = checkpoint(named.join(regrouped(smallest, "class"), "class").select("print", "component_id"))
     out = prints.join(named, "print")
     return out.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -123,10 +123,19 @@ def shingle_order(narrow: DataFrame, words: int) -> np.ndarray:
     return out
 
 
+def in_order(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A set's shingles (distinct hashes), those that few texts have first."""
+    return h[np.lexsort((h, counts[_slots(h)]))]
+
+
+def prefix_size(n, similarity: float = SIMILARITY):
+    """How many of the first of n shingles there are of which a set at the similarity must share one."""
+    return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+
+
 def prefix(h: np.ndarray, counts: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
     """The shingles of a set (distinct hashes) of which a set at the similarity must share one."""
-    n = len(h)
-    return h[np.lexsort((h, counts[_slots(h)]))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
+    return in_order(h, counts)[: int(prefix_size(np.int64(len(h)), similarity))]
 
 
 def _node(text: bytes) -> int:
@@ -156,8 +165,8 @@ def _named(batches):
         yield pa.RecordBatch.from_arrays([pa.array(signed(np.array(nodes, np.uint64))), batch.column(0)], names=["named", "text"])
 
 
-def _sets(words: int, similarity: float):
-    """Shingle sets, each for the range of sizes that its own falls in and for the next smaller one: two sets can
+def _sets(words: int, similarity: float, counts):
+    """Shingle sets in order, each for the range of sizes that its own falls in and for the next smaller one: two sets can
     only be alike enough if their sizes are in one range or in neighbouring ones."""
     ratio = -np.log(similarity)
 
@@ -167,7 +176,7 @@ def _sets(words: int, similarity: float):
             for group, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
                 if int(signed(np.array([_node(text)], np.uint64))[0]) != node:
                     continue  # another text of the same doc_id
-                h = np.unique(hashes(text, words))
+                h = in_order(np.unique(hashes(text, words)), counts.value)
                 k = int(np.log(max(1, len(h))) / ratio + 1e-9)
                 rows += [(group, r, node, h.tobytes()) for r in (k, k - 1)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
@@ -177,27 +186,78 @@ def _sets(words: int, similarity: float):
     return run
 
 
-def similar_pairs(sets: list[np.ndarray], similarity: float):
-    """(i, j) with j < i of all pairs of shingle sets at the similarity or more, as arrays for one i after another.
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of every range, one after another."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def similar_labels(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Labels of the classes that pairs of shingle sets at the similarity or more make; sets are in order, rare shingles first.
 
-    The sets' common elements are counted through the list of holders of each element, so only pairs that have
-    some in common cost anything.
+    Only sets that share one of their first shingles are compared.  First leaders, each the first set that no leader
+    before it took: a leader takes all that are like it, so a group of near copies is gone through once for each of its
+    few leaders.  Then the others, each with those only that are in another class by now.
     """
     sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    element = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(owner) else owner
-    order = np.argsort(element, kind="stable")
-    holders, starts = owner[order], np.searchsorted(element[order], np.arange(element.max() + 2 if len(element) else 1))
-    ends = np.cumsum(sizes)
-    for i in range(1, len(sets)):
-        mine = element[ends[i] - sizes[i] : ends[i]]
-        a, n = starts[mine], starts[mine + 1] - starts[mine]
-        at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        common = np.bincount(holders[at], minlength=len(sets))[:i]
-        j = np.flatnonzero(common >= similarity * (sizes[:i] + sizes[i] - common) - 1e-9)
-        j = j[common[j] > 0]
-        if len(j):
-            yield np.full(len(j), i), j
+    label = np.arange(len(sets))
+    if not sizes.sum():
+        return label
+    element = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    begins = np.cumsum(sizes) - sizes
+    firsts = np.where(sizes > 0, prefix_size(sizes, similarity), 0)
+    at = _ranges(begins, firsts)
+    owner, key = np.repeat(np.arange(len(sets)), firsts), element[at]
+    marked = np.zeros(int(element.max()) + 1, bool)
+
+    def root(i: int) -> int:
+        while label[i] != i:
+            label[i] = label[label[i]]
+            i = int(label[i])
+        return i
+
+    def take(i: int, candidates: np.ndarray) -> np.ndarray:
+        """Join the class of i with those of the candidates that are like it, and return these."""
+        j = np.unique(candidates)
+        j = j[(j != i) & (sizes[j] >= similarity * sizes[i] - 1e-9) & (similarity * sizes[j] - 1e-9 <= sizes[i])]
+        if not len(j):
+            return j
+        mine = element[begins[i] : begins[i] + sizes[i]]
+        marked[mine] = True
+        common = np.add.reduceat(marked[element[_ranges(begins[j], sizes[j])]], np.cumsum(sizes[j]) - sizes[j], dtype=np.int64)
+        marked[mine] = False
+        j = j[common >= similarity * (sizes[i] + sizes[j] - common) - 1e-9]
+        for k in j.tolist():
+            a, b = root(i), root(k)
+            label[max(a, b)] = min(a, b)
+        return j
+
+    order = np.argsort(key, kind="stable")
+    holders, starts = owner[order], np.searchsorted(key[order], np.arange(len(marked) + 1))
+    taken = np.zeros(len(sets), bool)
+    for i in range(len(sets)):
+        if not taken[i] and sizes[i]:
+            mine = element[begins[i] : begins[i] + firsts[i]]
+            taken[take(i, holders[_ranges(starts[mine], starts[mine + 1] - starts[mine])])] = True
+    label[:] = [root(i) for i in range(len(sets))]
+    # what a key's holders are in other classes than one's own: sorted by class, two ranges
+    order = np.lexsort((label[owner], key))
+    holders, keys, classes = owner[order], key[order], label[owner[order]]
+    mixed = np.zeros(len(marked), bool)
+    mixed[keys[1:][(keys[1:] == keys[:-1]) & (classes[1:] != classes[:-1])]] = True
+    here = mixed[keys]
+    holders, keys, classes = holders[here], keys[here], classes[here]
+    new = np.r_[True, (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1])] if len(keys) else np.zeros(0, bool)
+    run_begin = np.flatnonzero(new)
+    run_end = np.r_[run_begin[1:], len(keys)] if len(keys) else run_begin
+    run = np.cumsum(new) - 1
+    key_begin, key_end = np.searchsorted(keys, keys, "left"), np.searchsorted(keys, keys, "right")
+    order = np.argsort(holders, kind="stable")
+    ends = np.searchsorted(holders[order], np.arange(len(sets) + 1))
+    for i in np.flatnonzero(taken & (np.diff(ends) > 0)).tolist():
+        p = order[ends[i] : ends[i + 1]]
+        begin, end = np.r_[key_begin[p], run_end[run[p]]], np.r_[run_begin[run[p]], key_end[p]]
+        take(i, holders[_ranges(begin, end - begin)])
+    return np.array([root(i) for i in range(len(sets))])
 
 
 def _verify(similarity: float):
@@ -206,9 +266,8 @@ def _verify(similarity: float):
     def links(rows):
         if len(rows) < 2:
             return
-        ids, label = np.array([r[0] for r in rows]), np.arange(len(rows))
-        for i, j in similar_pairs([np.frombuffer(r[1], np.uint64) for r in rows], similarity):
-            label = merge(label, i, j)
+        ids = np.array([r[0] for r in rows])
+        label = similar_labels([np.frombuffer(r[1], np.uint64) for r in rows], similarity)
         moved = label != np.arange(len(label))
         if moved.any():
             yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["a", "b"])
@@ -242,9 +301,9 @@ def near_duplicates(docs: DataFrame, words: int = STAGE_WORDS, similarity: float
     nodes = checkpoint(sketch.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("print").alias("print"), F.first("keys").alias("keys")))
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     stars = keyed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top")
-    by_key = keyed.join(stars, "key").where("node <> b").select(F.col("node").alias("a"), "b")
+    by_key = keyed.join(regrouped(stars, "key"), "key").where("node <> b").select(F.col("node").alias("a"), "b")
     by_print = nodes.groupBy("print").agg(F.min("node").alias("id"))
-    same = nodes.join(by_print, "print").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    same = nodes.join(regrouped(by_print, "print"), "print").select(F.col("node").alias("a"), F.col("id").alias("b"))
     candidates = connected_components(by_key.unionByName(same).unionByName(hamming_links(by_print)))
     members = checkpoint(nodes.select("node", "first").join(candidates, "node").select("first", "node", "component"))
     few = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
@@ -253,12 +312,12 @@ def near_duplicates(docs: DataFrame, words: int = STAGE_WORDS, similarity: float
         named = narrow.where("doc_id is null").select("text").mapInArrow(_named, "named bigint, text string")
         without = members.where("first is null").select("component", "node")
         texts = texts.unionByName(named.join(without, named["named"] == without["node"]).select("component", "node", "text"))
-    sets = texts.mapInArrow(_sets(words, similarity), "group bigint, sizes int, node bigint, shingles binary")
+    sets = texts.mapInArrow(_sets(words, similarity, counts), "group bigint, sizes int, node bigint, shingles binary")
     links = sets.repartition("group", "sizes").sortWithinPartitions("group", "sizes", "node").mapInArrow(_verify(similarity), "a bigint, b bigint")
     classes = connected_components(links)
     named = nodes.select("node", "first").join(classes, "node", "left").select("node", "first", F.coalesce("component", "node").alias("class"))
     smallest = named.groupBy("class").agg(F.min("first").alias("group_id"))
-    named = checkpoint(named.join(smallest, "class").select("node", "group_id"))
+    named = checkpoint(named.join(regrouped(smallest, "class"), "class").select("node", "group_id"))
     return sketch.select("doc_id", "node").join(named, "node").select("doc_id", "group_id")
 
 

@@ -2,7 +2,8 @@
 
 A stored row is (tokenizer digest, content digest, count), so a new version of a tokenizer never reads old counts.
 Texts are deduplicated within each map task before they move, so even a text that fills a third of the table
-moves once per task; the tasks that encode hold a digest and a count for each text, never a group of rows.
+moves once per task; the tasks that encode hold a digest and a count for each text, never a group of rows.  The counts
+come back to the rows in a join whose hot keys adaptive execution can split.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import checkpoint, in_blocks, whole_text
+from gleaner.llm.common import checkpoint, in_blocks, regrouped, whole_text
 from gleaner.llm.tokenizing import piece_counts, version
 
 SCHEMA = "tokenizer string, digest binary, n_tokens bigint"
@@ -79,4 +80,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache: str, limit: int =
     # two writers may have stored the same count
     counts = counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     narrow = checkpoint(texts.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")))
-    return narrow.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return narrow.join(regrouped(counts, "digest"), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
