@@ -32,19 +32,22 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _url_sql() -> str:
-    rules, terms = urlfilter.Rules(), urlfilter.Vocabulary()
+    """By other means than the operator's: the parts of a split URL, and its words as a list that is intersected with the terms."""
+    rules, vocabulary = urlfilter.Rules(), urlfilter.Vocabulary()
     values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in rules.rows)
-    hits = lambda ts: f"len(list_filter([{', '.join(repr(t) for t in ts)}], lambda term: regexp_matches(low, '(^|[^a-z0-9])' || term || '($|[^a-z0-9])')))"
-    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    terms = ", ".join(f"('{t}', {w})" for t, w in vocabulary.weights)
     return f"""
-WITH r(rule_host, rule_path, ruled) AS (VALUES {values}),
-u AS (SELECT page_id, {lower.format("coalesce(url, '')")} AS low, coalesce({lower.format("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")}, '') AS host,
-      coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-c AS (SELECT page_id, host, path, {hits(terms.strict)} AS n_strict, {hits(terms.soft)} AS n_soft FROM u),
-b AS (SELECT page_id, max_by(rule_host || rule_path, length(rule_host || rule_path)) AS rule, max_by(ruled, length(rule_host || rule_path)) AS ruled
-      FROM c, r WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY 1)
-SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN n_strict >= 1 OR n_soft >= {terms.least_soft} THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft
-FROM c LEFT JOIN b USING (page_id)
+WITH r(rule_host, rule_path, ruled) AS (VALUES {values}), v(term, w) AS (VALUES {terms}),
+t AS (SELECT page_id, row_number() OVER () AS n, coalesce(url, '') AS url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (SELECT page_id, n, url, string_split(string_split(rest, '#')[1], '?')[1] AS rest FROM t),
+u AS (SELECT page_id, n, url, translate(string_split(rest, '/')[1], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(rest, length(string_split(rest, '/')[1]) + 1) AS path FROM s),
+c AS (SELECT n, count(*) FILTER (w >= {vocabulary.limit}) AS n_strict, count(*) FILTER (w < {vocabulary.limit}) AS n_soft, sum(w)::DOUBLE AS weight
+      FROM (SELECT DISTINCT n, unnest(regexp_split_to_array(lower(url_decode(url)), '[^\\pL\\pN]+')) AS term FROM u) JOIN v USING (term) GROUP BY 1),
+b AS (SELECT n, max_by(rule_host || rule_path, length(rule_host || rule_path)) AS rule, max_by(ruled, length(rule_host || rule_path)) AS ruled
+      FROM u, r WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY 1)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN weight >= {vocabulary.limit} THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(n_strict, 0) AS n_strict, coalesce(n_soft, 0) AS n_soft, coalesce(weight, 0.0)::DOUBLE AS weight
+FROM u LEFT JOIN b USING (n) LEFT JOIN c USING (n)
 """
 
 
@@ -57,7 +60,9 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.token_counts(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), fresh_dir(spark, "token-counts"))
+    """The session's setting spark.gleaner.tokenCounts names a cache that outlives the run; else it begins empty."""
+    cache = spark.conf.get("spark.gleaner.tokenCounts", None) or fresh_dir(spark, "token-counts")
+    return tokencount.token_counts(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), cache)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -220,6 +220,34 @@ def test_urls(spark):
     assert [g[4] for g in got[4:]] == ["block", "block", "allow", "allow", "allow"]
 
 
+def test_url_words(spark):
+    cases = {"x://p%6Frn.net/": "block", "x://a.net/Glu%CC%88cksspiel": "allow", "x://a.net/gl%C3%BCcksspiel/Erotik": "block", "x://a.net/sex-sex-sex": "allow", "x://a.net/érotique?nues": "block", "x://a.net/aporn_b": "allow", "x://a.net/%zz%": "allow", "": "allow", "x://a.net/" + "y" * 500_000 + "/xxx": "block"}
+    df = spark.createDataFrame([(k, u, 1.0, "t") for k, u in enumerate(cases)], "page_id long, url string, weight double, host string")
+    assert [r.verdict for r in urlfilter.judge(df).orderBy("page_id").collect()] == list(cases.values())
+    table = spark.createDataFrame([("Zeppelin", 0.6), ("ship", 0.4), ("ship", 0.5), ("", 9.0), (None, 9.0), ("air", None)], "term string, weight double")
+    own = urlfilter.Vocabulary.of(table, 1.0)
+    assert own.weights == (("ship", 0.5), ("zeppelin", 0.6))
+    urls = spark.createDataFrame([(1, "x://a/zeppelin/ship"), (2, "x://a/ship/ship"), (3, "x://a/airship zeppelin")], "page_id long, url string")
+    assert [r.verdict for r in urlfilter.judge(urls, vocabulary=own).orderBy("page_id").collect()] == ["block", "allow", "allow"]
+    assert urlfilter.judge(urls, vocabulary=urlfilter.Vocabulary.of(table.limit(0))).where("verdict = 'block'").count() == 0
+    assert urlfilter.judge(urls.limit(0)).count() == 0
+
+
+def test_urls_equal_brute_force(spark):
+    rng, pieces = np.random.default_rng(21), ["://", "http", "example", ".", "org", "com", "/", "es/", "en/1", "fr/", "de/", "?", "#", "A", "xxx", "free", "hot", "-", "Ö"]
+    urls = ["".join(rng.choice(pieces, int(rng.integers(0, 12)))) for _ in range(3000)] + [None, "", "://", "a://", "://x"]
+    rules = urlfilter.Rules().rows
+    for r in urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect():
+        _, there, rest = (urls[r.page_id] or "").partition("://")
+        rest = re.split("[?#]", rest)[0] if there else ""
+        host, slash, path = rest.partition("/")
+        host, path = "".join(c.lower() if "A" <= c <= "Z" else c for c in host), slash + path
+        fit = max((x for x in rules if (host == x[0] or host.endswith("." + x[0])) and path.startswith(x[1])), key=lambda x: len(x[0] + x[1]), default=None)
+        words = set(re.findall(r"[^\W_]+", (urls[r.page_id] or "").lower()))
+        own = "block" if sum(w for t, w in urlfilter.Vocabulary().weights if t in words) >= 2 else "allow"
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, fit and fit[0] + fit[1], fit[2] if fit else own), urls[r.page_id]
+
+
 def test_pii(spark, docs):
     counted(pii.digest(docs), docs)
     text = "a@b.co, 10.0.0.256 1.2.3.4; 4111 1111 1111 1111; +1 (499) 555-6503 é𝒳 GB82 WEST 1234 5698 7654 32 x@y.zz_q@r.st" + " 9.9.9.9" * 300
