@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 #: Characters that Python's str.split and str.strip treat as white space.
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_ARTICLE = r"(?<![\p{L}\p{N}_])(?:a|an|the)(?![\p{L}\p{N}_])"
+_ARTICLE = r"(?=[at])(?<![\p{L}\p{N}_])(?:an?|the)(?![\p{L}\p{N}_])"
 ANSWER_CHARS = 80
 UNKNOWN = "UNKNOWN"
 QA_TYPE = "array<struct<question: string, answer: string>>"
@@ -18,26 +19,36 @@ INVALID = ("0", "false", "no", "n", "invalid", "incorrect", "unsupported")
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    """Without white space at the ends; a run of it inside is gone through once."""
+    return F.regexp_replace(c, rf"\A{SPACE}++|(?<!{SPACE}){SPACE}++\z", "")
+
+
+def _spaced(c: Column, gone: str = "") -> Column:
+    """With a space for every white space character, without the characters of ``gone``."""
+    return F.translate(c, SPACES + gone, " " * len(SPACES))
+
+
+def _single(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, " {2,}+", " "))
 
 
 def collapse(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
+    return _single(_spaced(c))
 
 
 def tokenize(c: Column) -> Column:
     """Words between white space; an empty or null text has none."""
-    return F.filter(F.split(collapse(F.coalesce(c, F.lit(""))), " "), lambda w: w != "")
+    return F.filter(F.split(_spaced(F.coalesce(c, F.lit(""))), " "), lambda w: w != "")
 
 
 def normalize_iaa(c: Column) -> Column:
     """Lower case without ASCII punctuation, single spaces; null is empty."""
-    return collapse(F.translate(F.lower(F.coalesce(c, F.lit(""))), PUNCTUATION, ""))
+    return _single(_spaced(F.lower(F.coalesce(c, F.lit(""))), PUNCTUATION))
 
 
 def normalize_answer(c: Column) -> Column:
     """As ``normalize_iaa``, without articles too."""
-    return collapse(F.regexp_replace(F.translate(F.lower(F.coalesce(c, F.lit(""))), PUNCTUATION, ""), _ARTICLE, " "))
+    return _single(F.regexp_replace(_spaced(F.lower(F.coalesce(c, F.lit(""))), PUNCTUATION), _ARTICLE, " "))
 
 
 def token_overlap(a: Column, b: Column) -> Column:
