@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,40 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch that hold whole texts; with texts of a few kB a batch stays at some MB.
 TEXT_BATCH_ROWS = 2000
 #: Bytes of texts that a vectorised step takes at once; what it makes of them is some ten times as large.
-TEXT_BLOCK = 8 << 20
+TEXT_BLOCK = 4 << 20
+
+
+@lru_cache(maxsize=1)
+def _libc():
+    """The C library, told to give blocks of a megabyte and more back when they are freed; None where it can't be told."""
+    try:
+        found = ctypes.CDLL("libc.so.6")
+        found.mallopt(-3, 1 << 20)  # from this size on blocks are mapped, at any time
+        found.malloc_trim(0)
+    except (OSError, AttributeError):
+        return None
+    return found
+
+
+def give_back() -> None:
+    """Return the memory that a Python worker holds but doesn't use: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if (c := _libc()) is not None:
+        c.malloc_trim(0)
+
+
+def tidy(run):
+    """``run``, for mapInArrow, without what its task leaves behind in the worker."""
+
+    @wraps(run)
+    def wrapped(batches):
+        _libc()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
 
 
 def shared_dir(spark: SparkSession) -> str:

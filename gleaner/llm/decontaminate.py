@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import in_blocks, whole_text, words_in
+from gleaner.llm.common import give_back, in_blocks, tidy, whole_text, words_in
 
 STEP = 16
 BITS = 18
@@ -86,7 +86,7 @@ def _frequencies(batches):
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     """log((1 + n) / (1 + documents with the feature)) + 1 over all documents."""
-    counted = docs.select(whole_text().alias("text")).mapInArrow(_frequencies, "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    counted = docs.select(whole_text().alias("text")).mapInArrow(tidy(_frequencies), "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(FEATURES)
     df[counted.column("feature").to_numpy()] = counted.column("n").to_numpy()
     return (np.log((1 + docs.count()) / (1 + df)) + 1).astype(np.float32)
@@ -124,7 +124,7 @@ def svd(items: DataFrame, idf: np.ndarray, rank: int = RANK, passes: int = PASSE
                 seen.update(features_of(hashes_of(words_of(t))).tolist())
         yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.int32())], names=["feature"])
 
-    used = np.sort(texts.mapInArrow(present, "feature int").distinct().toArrow().column(0).to_numpy())
+    used = np.sort(texts.mapInArrow(tidy(present), "feature int").distinct().toArrow().column(0).to_numpy())
     width = min(rank + SPARE, max(1, len(used)))
     block = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(used), width)))[0] if len(used) else np.zeros((0, 0))
 
@@ -149,7 +149,7 @@ def svd(items: DataFrame, idf: np.ndarray, rank: int = RANK, passes: int = PASSE
                     sums[k] = sums.get(k, 0) + np.frombuffer(part, np.float32)
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.asarray(s, np.float32).tobytes() for s in sums.values()], pa.binary())], names=["k", "part"])
 
-        got = texts.mapInArrow(run, "k int, part binary").repartition("k").mapInArrow(added, "k int, part binary").toArrow()
+        got = texts.mapInArrow(tidy(run), "k int, part binary").repartition("k").mapInArrow(tidy(added), "k int, part binary").toArrow()
         out = np.zeros(v.shape)
         for k, part in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
             out[k] = np.frombuffer(part, np.float32)
@@ -362,7 +362,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 rest = [pa.array(c, k) for c, k in zip(columns[1:], (pa.int64(), pa.float64(), pa.float64()), strict=True)]
                 yield pa.RecordBatch.from_arrays([which, *rest], names=["doc_id", "item_id", "cosine", "lcs"])
 
-        found = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, "doc_id bigint, item_id bigint, cosine double, lcs double")
+        found = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(tidy(run), "doc_id bigint, item_id bigint, cosine double, lcs double")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -375,6 +375,7 @@ def _holder(shared):
         for batch in in_blocks([pa.RecordBatch.from_arrays([texts], names=["text"])], 0):
             out[[at + row[0] for row in shared.value.match(batch.column(0))]] = True
             at += batch.num_rows
+        give_back()
         return pa.array(out)
 
     return holds

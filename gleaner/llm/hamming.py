@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import checkpoint, signed
+from gleaner.llm.common import checkpoint, signed, tidy
 
 RADIUS, BLOCKS, LIMIT, LEVELS = 3, 5, 4096, 3
 FAN_OUT, SMALL = 8, 24
@@ -210,7 +210,7 @@ def hamming_links(prints: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -
     rows = prints.select("id", "print", F.explode(deals).alias("d")).select("d.key", "print", "id", "d.used")
     edges = None
     for level in range(LEVELS):
-        done = checkpoint(rows.repartition("key").sortWithinPartitions("key").mapInArrow(linker(level, limit, radius), OUT))
+        done = checkpoint(rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(linker(level, limit, radius)), OUT))
         found = done.where("not hot").select(F.col("print").alias("a"), F.col("id").alias("b"))
         edges = found if edges is None else edges.unionByName(found)
         rows = done.where("hot").select("key", "print", "id", "used")

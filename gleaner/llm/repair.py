@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm import files
-from gleaner.llm.common import checkpoint, in_blocks, whole_text
+from gleaner.llm.common import checkpoint, in_blocks, tidy, whole_text
 from gleaner.llm.tokenizing import text_ids, vocabulary_size
 
 END = 0
@@ -205,7 +205,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, shard_ids: i
     """
     narrow = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
     ranged = narrow.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return checkpoint(ranged.mapInArrow(_write(tokenizer_path, folder, vocabulary_size(tokenizer_path), shard_ids), MANIFEST))
+    return checkpoint(ranged.mapInArrow(tidy(_write(tokenizer_path, folder, vocabulary_size(tokenizer_path), shard_ids)), MANIFEST))
 
 
 def _read(batches):
@@ -230,4 +230,4 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     order = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     based = checkpoint(manifest.select("path", "n_ids", (F.sum("n_ids").over(order) - F.col("n_ids")).alias("base")))
     spread = based.select("path", "base").repartition(max(1, based.count()))
-    return spread.mapInArrow(_read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, n_symbols bigint")
+    return spread.mapInArrow(tidy(_read), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, n_symbols bigint")

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import as_bytes, checkpoint, in_pieces, regrouped, signed, whole_text
+from gleaner.llm.common import as_bytes, checkpoint, in_blocks, in_pieces, regrouped, signed, tidy, whole_text
 from gleaner.llm.components import connected_components
 from gleaner.llm.hamming import RADIUS, hamming_links, merge
 
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     A null or empty text has print 0; repeated rows and null ids keep their rows; other columns are not read.
     """
     narrow = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    return narrow.mapInArrow(_fingerprint_batches(words), "doc_id bigint, print bigint")
+    return narrow.mapInArrow(tidy(_fingerprint_batches(words)), "doc_id bigint, print bigint")
 
 
 def fingerprint_components(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
@@ -117,7 +117,7 @@ def shingle_order(narrow: DataFrame, words: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
 
     sample = narrow.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text")
-    got = sample.mapInArrow(count, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    got = sample.mapInArrow(tidy(count), "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << COUNT_BITS, np.int32)
     out[got.column("slot").to_numpy()] = np.minimum(got.column("n").to_numpy(), np.iinfo(np.int32).max)
     return out
@@ -142,19 +142,26 @@ def _node(text: bytes) -> int:
     return xxhash.xxh64_intdigest(b" ".join(text.lower().split()), 1)
 
 
+def size_range(n: np.ndarray, similarity: float) -> np.ndarray:
+    """The range that a set's size falls in; sets that are alike enough are in one range or in neighbouring ones."""
+    return (np.log(np.maximum(1, n)) / -np.log(similarity) + 1e-9).astype(np.int32)
+
+
 def _sketches(words: int, similarity: float, counts):
     def run(batches):
         for batch in in_pieces(batches, 500):
-            nodes, prints, keys = [], [], []
+            nodes, prints, keys, sizes = [], [], [], []
             for text in as_bytes(batch.column(1)):
                 h = hashes(text, words)
                 nodes.append(_node(text))
                 prints.append(simhash(h))
-                keys.append(signed(prefix(np.unique(h), counts.value, similarity)) if len(h) else np.zeros(0, np.int64))
+                distinct = np.unique(h)
+                sizes.append(len(distinct))
+                keys.append(signed(prefix(distinct, counts.value, similarity)) if len(h) else np.zeros(0, np.int64))
             ends = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
             ints = [pa.array(signed(np.array(x, np.uint64))) for x in (nodes, prints)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *ints, listed], names=["doc_id", "node", "print", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *ints, listed, pa.array(size_range(np.array(sizes, np.int64), similarity))], names=["doc_id", "node", "print", "keys", "range"])
 
     return run
 
@@ -165,20 +172,17 @@ def _named(batches):
         yield pa.RecordBatch.from_arrays([pa.array(signed(np.array(nodes, np.uint64))), batch.column(0)], names=["named", "text"])
 
 
-def _sets(words: int, similarity: float, counts):
-    """Shingle sets in order, each for the range of sizes that its own falls in and for the next smaller one: two sets can
-    only be alike enough if their sizes are in one range or in neighbouring ones."""
-    ratio = -np.log(similarity)
+def _sets(words: int, counts):
+    """Shingle sets in order, each for the ranges of sizes that it is wanted in."""
 
     def run(batches):
-        for batch in in_pieces(batches, 500):
+        for batch in in_blocks(batches, 3):
             rows = []
-            for group, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
+            for group, ranges, node, text in zip(*(batch.column(k).to_pylist() for k in range(3)), as_bytes(batch.column(3)), strict=True):
                 if int(signed(np.array([_node(text)], np.uint64))[0]) != node:
                     continue  # another text of the same doc_id
-                h = in_order(np.unique(hashes(text, words)), counts.value)
-                k = int(np.log(max(1, len(h))) / ratio + 1e-9)
-                rows += [(group, r, node, h.tobytes()) for r in (k, k - 1)]
+                h = in_order(np.unique(hashes(text, words)), counts.value).tobytes()
+                rows += [(group, r, node, h) for r in ranges]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["group", "sizes", "node", "shingles"])
@@ -297,23 +301,28 @@ def near_duplicates(docs: DataFrame, words: int = STAGE_WORDS, similarity: float
     """
     narrow = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
     counts = docs.sparkSession.sparkContext.broadcast(shingle_order(narrow, words))
-    sketch = checkpoint(narrow.mapInArrow(_sketches(words, similarity, counts), "doc_id bigint, node bigint, print bigint, keys array<bigint>"))
-    nodes = checkpoint(sketch.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("print").alias("print"), F.first("keys").alias("keys")))
+    sketch = checkpoint(narrow.mapInArrow(tidy(_sketches(words, similarity, counts)), "doc_id bigint, node bigint, print bigint, keys array<bigint>, range int"))
+    nodes = checkpoint(sketch.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("print").alias("print"), F.min("range").alias("range"), F.first("keys").alias("keys")))
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     stars = keyed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top")
     by_key = keyed.join(regrouped(stars, "key"), "key").where("node <> b").select(F.col("node").alias("a"), "b")
     by_print = nodes.groupBy("print").agg(F.min("node").alias("id"))
     same = nodes.join(regrouped(by_print, "print"), "print").select(F.col("node").alias("a"), F.col("id").alias("b"))
     candidates = connected_components(by_key.unionByName(same).unionByName(hamming_links(by_print)))
-    members = checkpoint(nodes.select("node", "first").join(candidates, "node").select("first", "node", "component"))
+    # a set is wanted in its own range of sizes and the next smaller one, where its class has another one there
+    ranged = checkpoint(nodes.select("node", "first", "range").join(candidates, "node").select("first", "node", "component", F.explode(F.array("range", F.col("range") - 1)).alias("range")))
+    several = ranged.groupBy("component", "range").agg(F.count("*").alias("n")).where("n > 1").select(F.col("component").alias("component_"), "range")
+    several = regrouped(several, "component_")
+    wanted = ranged.join(several, (F.col("component") == F.col("component_")) & ranged["range"].eqNullSafe(several["range"]), "left_semi")
+    members = checkpoint(wanted.groupBy("node").agg(F.min("first").alias("first"), F.min("component").alias("component"), F.collect_list("range").alias("ranges")))
     few = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
-    texts = narrow.join(few, narrow["doc_id"] == few["first"]).select("component", "node", "text")
+    texts = narrow.join(few, narrow["doc_id"] == few["first"]).select("component", "ranges", "node", "text")
     if members.where("first is null").count():
-        named = narrow.where("doc_id is null").select("text").mapInArrow(_named, "named bigint, text string")
-        without = members.where("first is null").select("component", "node")
-        texts = texts.unionByName(named.join(without, named["named"] == without["node"]).select("component", "node", "text"))
-    sets = texts.mapInArrow(_sets(words, similarity, counts), "group bigint, sizes int, node bigint, shingles binary")
-    links = sets.repartition("group", "sizes").sortWithinPartitions("group", "sizes", "node").mapInArrow(_verify(similarity), "a bigint, b bigint")
+        named = narrow.where("doc_id is null").select("text").mapInArrow(tidy(_named), "named bigint, text string")
+        without = members.where("first is null").select("component", "ranges", "node")
+        texts = texts.unionByName(named.join(without, named["named"] == without["node"]).select("component", "ranges", "node", "text"))
+    sets = texts.mapInArrow(tidy(_sets(words, counts)), "group bigint, sizes int, node bigint, shingles binary")
+    links = sets.repartition("group", "sizes").sortWithinPartitions("group", "sizes", "node").mapInArrow(tidy(_verify(similarity)), "a bigint, b bigint")
     classes = connected_components(links)
     named = nodes.select("node", "first").join(classes, "node", "left").select("node", "first", F.coalesce("component", "node").alias("class"))
     smallest = named.groupBy("class").agg(F.min("first").alias("group_id"))

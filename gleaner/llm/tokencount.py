@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import checkpoint, in_blocks, regrouped, whole_text
+from gleaner.llm.common import checkpoint, in_blocks, regrouped, tidy, whole_text
 from gleaner.llm.tokenizing import piece_counts, version
 
 SCHEMA = "tokenizer string, digest binary, n_tokens bigint"
@@ -70,11 +70,11 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache: str, limit: int =
     spark = docs.sparkSession
     texts = docs.select("doc_id", whole_text().alias("text")).withColumn("digest", content_digest(F.col("text")))
     known = stored(spark, cache)
-    misses = texts.select("digest", "text").mapInArrow(_once_per_task, "digest binary, text string")
+    misses = texts.select("digest", "text").mapInArrow(tidy(_once_per_task), "digest binary, text string")
     if known is not None:
         known = known.where(F.col("tokenizer") == version(tokenizer_path))
         misses = misses.join(known, "digest", "left_anti")
-    counted = misses.repartition("digest").mapInArrow(_count_once(tokenizer_path), SCHEMA)
+    counted = misses.repartition("digest").mapInArrow(tidy(_count_once(tokenizer_path)), SCHEMA)
     counted.write.mode("append").parquet(cache)
     counts = spark.read.schema(SCHEMA).parquet(cache).where(F.col("tokenizer") == version(tokenizer_path)).select("digest", "n_tokens")
     # two writers may have stored the same count

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import in_blocks, in_pieces, signed, whole_text, words_in
+from gleaner.llm.common import give_back, in_blocks, in_pieces, signed, tidy, whole_text, words_in
 
 ORDER, SHARED_ORDER = 5, 2
 DISCOUNT = 0.75
@@ -200,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: tuple[int, ...] = (1, 2, 3)
     marks = marks.where(fold(F.col("doc_id")).isin(*folds, fit_fold))
     marks = F.broadcast(marks) if marks.count() <= BROADCAST_LABELS else marks
     rows = docs.select("doc_id", whole_text().alias("text")).join(marks, "doc_id")
-    counted = rows.where(fold(F.col("doc_id")).isin(*folds)).select("text", "toxic").mapInArrow(_count, COUNTS)
+    counted = rows.where(fold(F.col("doc_id")).isin(*folds)).select("text", "toxic").mapInArrow(tidy(_count), COUNTS)
     summed = counted.groupBy("gram_order", "gram").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
     model = model_of(summed.toArrow())
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -212,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: tuple[int, ...] = (1, 2, 3)
 
     few = marks.where(fold(F.col("doc_id")) == fit_fold).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     fitting = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).join(F.broadcast(few), "doc_id").select("doc_id", "text", "toxic")
-    sample = fitting.mapInArrow(fit, "doc_id bigint, toxic int, a double, b double, c double, d double").orderBy("doc_id", *"abcd").toArrow()
+    sample = fitting.mapInArrow(tidy(fit), "doc_id bigint, toxic int, a double, b double, c double, d double").orderBy("doc_id", *"abcd").toArrow()
     x = np.stack([sample.column(c).to_numpy() for c in "abcd"], axis=1)
     y = sample.column("toxic").to_numpy()
     if len(y) and 0 < y.mean() < 1:
@@ -229,7 +229,9 @@ def scorer(spark, model: Model):
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         blocks = in_blocks([pa.RecordBatch.from_arrays([texts], names=["text"])], 0)
-        return pa.array(np.concatenate([np.zeros(0), *(shared.value.scores(b.column(0)) for b in blocks)]))
+        out = np.concatenate([np.zeros(0), *(shared.value.scores(b.column(0)) for b in blocks)])
+        give_back()
+        return pa.array(out)
 
     return score
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import files
-from gleaner.llm.common import as_bytes, checkpoint, in_pieces
+from gleaner.llm.common import as_bytes, checkpoint, in_pieces, tidy
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: A payload of fewer bytes is never replaced by a revisit.
@@ -214,7 +214,7 @@ def write_packages(pages: DataFrame, folder: str, least: int = LEAST_REVISIT, pa
     salted = rows.withColumn("salt", F.pmod(F.hash("page_id", "url"), F.lit(_SALTS)))
     refers = F.when(F.col("page_id").eqNullSafe(F.col("newest")), None).otherwise(F.col("newest"))
     marked = salted.join(groups, ["digest", "salt"], "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
-    return checkpoint(marked.mapInArrow(_write(folder, package_bytes), "path string, n bigint"))
+    return checkpoint(marked.mapInArrow(tidy(_write(folder, package_bytes)), "path string, n bigint"))
 
 
 def _read(batches):
@@ -240,7 +240,7 @@ _OUT = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
 def read_packages(packages: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record in the listed packages."""
     n = max(1, packages.count())
-    return packages.select("path").repartition(n).mapInArrow(_read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    return packages.select("path").repartition(n).mapInArrow(tidy(_read), "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
 def find(paths: Iterable[str], page_id: int) -> bytes | None:
