@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Extensions of what is not a page.
 SKIPPED = (".pdf", ".jpg", ".jpeg", ".png", ".gif", ".zip", ".mp4", ".svg", ".ico")
 
 
@@ -32,11 +33,23 @@ def allowed(url: Column, host: str, strict_host: bool = False) -> Column:
     return bare.rlike(f"^https?://{host}" + ("(?:/|$)" if strict_host else "")) & ~skipped
 
 
+def _without_dots(url: Column) -> Column:
+    """The . and .. segments of a path taken out; .. at the top is dropped."""
+    origin = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    rest = F.substring(url, F.length(origin) + 1, F.length(url))
+    path = F.regexp_extract(rest, r"^([^?#]*)", 1)
+    parts = F.split(path, "/")
+    up = lambda a: F.when(F.size(a) > 1, F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == ".", a).when(x == "..", up(a)).otherwise(F.concat(a, F.array(x))))
+    ended = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when((origin != "") & path.rlike(r"(?:^|/)\.\.?(?:/|$)"), F.concat(origin, F.array_join(ended, "/"), F.substring(rest, F.length(path) + 1, F.length(rest)))).otherwise(url)
+
+
 def resolve(base: Column, href: Column) -> Column:
-    """An absolute, scheme-relative, host-relative or path-relative link against its page; others as they are."""
+    """An absolute, scheme-relative, host-relative or path-relative link against its page, with . and .. worked out."""
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     folder = F.regexp_replace(clean(base), r"(?<=[^/:])/[^/]*$", "/")
-    return (
+    joined = (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(F.substring_index(base, ":", 1), F.lit(":"), href))
         .when(href.startswith("/"), F.concat(origin, href))
@@ -44,12 +57,14 @@ def resolve(base: Column, href: Column) -> Column:
         .when(folder == origin, F.concat(origin, F.lit("/"), href))
         .otherwise(F.concat(folder, href))
     )
+    return _without_dots(joined)
 
 
-def links(base: Column, html: Column) -> Column:
-    """The distinct cleaned https targets of a page's links."""
+def links(base: Column, html: Column, host: str | None = None) -> Column:
+    """The distinct cleaned https targets of a page's links, of ``host`` (a regular expression) alone if one is given."""
     found = F.regexp_extract_all(html, F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda h: https(clean(resolve(base, h)))))
+    targets = F.array_distinct(F.transform(found, lambda h: https(clean(resolve(base, h)))))
+    return targets if host is None else F.filter(targets, lambda t: allowed(t, host))
 
 
 def aliases(url: Column) -> Column:

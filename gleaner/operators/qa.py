@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
+from gleaner.operators import generate
 
-WINDOW_WORDS, LEAST_PAGE_WORDS, MOST_ANSWER_WORDS = 300, 30, 9
+WINDOW_WORDS, LEAST_PAGE_WORDS, MOST_ANSWER_WORDS, MOST_PAIRS = 300, 30, 9, 500
 
 
 def window(text: Column, seed: Column, words: int = WINDOW_WORDS) -> Column:
@@ -33,7 +34,15 @@ def first_wins(rows: DataFrame, key: Column, position: str) -> DataFrame:
     return kept.select("r.*")
 
 
-def numbered_first(rows: DataFrame, key: Column, position: str) -> DataFrame:
-    """As ``first_wins``, by a ranking."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(position))
-    return rows.withColumn("rank_", rank).where("rank_ = 1").drop("rank_")
+def synthesize(pages: DataFrame, generator: generate.Generator, seed: Column, most: int = MOST_PAIRS) -> DataFrame:
+    """``pages`` (pos, url, text) -> (pos, question, answer, url), at most ``most`` in the order of pos.
+
+    Pages of enough words give a window each; a reply with a question and an answer counts if the answer is short and in its
+    window, and the first of those that ask the same.  ``pos`` says the order in which pages are taken.
+    """
+    windows = pages.where(long_enough(F.col("text"))).select("pos", "url", window(F.col("text"), seed).alias("context"))
+    asked = generate.replies(windows, generator, "context", generate.ATTEMPTS, good=generate.is_pair)
+    pairs = asked.select("pos", "url", "context", T.extract_qa(F.col("reply")).alias("qa"))
+    pairs = pairs.select("pos", T.strip(F.col("qa.question")).alias("question"), T.strip(F.col("qa.answer")).alias("answer"), "url", "context")
+    kept = pairs.where(valid(F.col("question"), F.col("answer"), F.col("context"))).drop("context")
+    return first_wins(kept, F.lower("question"), "pos").orderBy("pos").limit(most)

@@ -6,22 +6,19 @@ from gleaner.functions import text as T
 from gleaner.operators import agreement, evaluate
 from gleaner.plans import duck
 from gleaner.plans.registry import query, table
+from gleaner.sources import sinks
 
 
 def _answers(spark, d):
-    """Predictions and pipe-joined golds made of words of what the assistant says."""
-    rows = table(spark, d, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), T.tokenize(F.col("text")).alias("w"))
-    part = lambda a, n: F.array_join(F.slice("w", F.lit(a), F.lit(n)), " ")
-    pred = F.when(F.col("qid") % 3 == 0, part(1, 5)).when(F.col("qid") % 3 == 1, part(2, 6)).otherwise("none of it")
-    return rows.select("qid", pred.alias("pred"), F.concat_ws(" | ", part(1, 5), part(4, 6)).alias("answer"))
-
-
-_BASE = f"""WITH c AS (SELECT conv_id * 1000 + turn AS qid, {duck.words('text')} AS w FROM conversations WHERE role = 'assistant'),
-a AS (SELECT qid, CASE qid % 3 WHEN 0 THEN array_to_string(w[1:5], ' ') WHEN 1 THEN array_to_string(w[2:7], ' ') ELSE 'none of it' END AS pred,
- array_to_string(w[1:5], ' ') || ' | ' || array_to_string(w[4:9], ' ') AS answer FROM c),
-g AS (SELECT qid, pred, list_transform(string_split(answer, '|'), lambda x: {duck.strip('x')}) AS golds FROM a),
-n AS (SELECT qid, pred, golds, {duck.norm('pred')} AS p, {duck.words(duck.norm('pred'))} AS t, list_transform(golds, lambda x: {duck.norm('x')}) AS ng FROM g),
-u AS (SELECT qid, unnest(ng) AS g1 FROM n), k AS (SELECT qid, g1, {duck.words('g1')} AS gt FROM u),
+    """What is said in every turn: its first line as the prediction, all of it or the speaker's role as golds."""
+    rows = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "role", "text")
+    return rows.select("qid", F.substring_index("text", "\n", 1).alias("pred"), F.concat_ws(" | ", "text", "role").alias("answer"))
+
+
+_BASE = f"""WITH a AS MATERIALIZED (SELECT conv_id * 1000 + turn AS qid, string_split(text, chr(10))[1] AS pred, concat_ws(' | ', text, role) AS answer FROM conversations),
+g AS MATERIALIZED (SELECT qid, pred, list_transform(string_split(answer, '|'), lambda x: {duck.strip('x')}) AS golds FROM a),
+n AS MATERIALIZED (SELECT qid, pred, golds, {duck.norm('pred')} AS p, {duck.words(duck.norm('pred'))} AS t, list_transform(golds, lambda x: {duck.norm('x')}) AS ng FROM g),
+u AS MATERIALIZED (SELECT qid, unnest(ng) AS g1 FROM n), k AS MATERIALIZED (SELECT qid, g1, {duck.words('g1')} AS gt FROM u),
 s AS (SELECT n.qid, max(CASE WHEN g1 = p THEN 1 ELSE 0 END) AS em, max({duck.f1('t', 'gt')}) AS f1 FROM n JOIN k USING (qid) GROUP BY 1)
 """
 
@@ -77,14 +74,40 @@ m AS (SELECT lang, count(*) AS n, avg(CAST(a = b AS INT)) AS o, avg(CAST(a = 1 A
 _BAND = "CASE WHEN {0} >= 0.8 THEN 'reliable' WHEN {0} >= 0.667 THEN 'tentative' ELSE 'low' END"
 
 
-@query("""SELECT CAST(d.doc_id AS VARCHAR) AS key, quality AS valid, toxic AS valid_2 FROM labels l JOIN documents d USING (doc_id) WHERE d.doc_id % 2 = 0
+@query("""SELECT CAST(d.doc_id AS VARCHAR) AS key, quality AS valid, toxic AS valid_2 FROM labels l JOIN documents d USING (doc_id)
 QUALIFY row_number() OVER (PARTITION BY d.doc_id ORDER BY quality DESC) = 1""")
 def iaa_shared(spark, d):
-    docs = table(spark, d, "documents").where("doc_id % 2 = 0").select("doc_id")
-    labels = table(spark, d, "labels")
-    first = labels.select(F.col("doc_id").cast("string").alias("key"), F.col("quality").alias("valid"), F.col("quality").alias("pos"))
-    second = labels.join(docs, "doc_id", "left_semi").select(F.col("doc_id").cast("string").alias("key"), F.col("toxic").alias("valid"), F.col("quality").alias("pos"))
-    return agreement.shared(first, second).select("key", "valid", "valid_2")
+    """Quality by one annotator, toxicity of the documents that are there by the other."""
+    labels = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("key"), "quality", "toxic")
+    there = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("key"))
+    first = labels.select("key", F.col("quality").alias("valid"), F.col("quality").alias("pos"))
+    second = labels.join(there, "key", "left_semi").select("key", F.col("toxic").alias("valid"), F.col("quality").alias("pos"))
+    return agreement.in_order(agreement.shared(first, second)).select("key", "valid", "valid_2")
+
+
+def _annotations(spark, d, label, answer):
+    """Documents as one annotator's rows, in the form of annotation files."""
+    rows = table(spark, d, "documents").join(table(spark, d, "labels").groupBy("doc_id").agg(F.max(label).alias("label")), "doc_id")
+    none = F.lit(None).cast("string")
+    return rows.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("question"), none.alias("answer"), F.col("label").cast("string").alias("validity_label"), answer.alias("annotated_answer"), none.alias("corrected_answer"), F.col("doc_id").alias("pos"))
+
+
+@query(_PAIRS + f""", x AS (SELECT count(*) AS shared, count_if(a = b) AS agreed, count_if(a <> b) AS mismatches, count_if(a = 1 AND b = 1) AS joint_valid, avg(CAST(a = b AS INT)) AS o, avg(CAST(a = 1 AS INT)) AS p1, avg(CAST(b = 1 AS INT)) AS p2 FROM p),
+y AS (SELECT *, p1 * p2 + (1 - p1) * (1 - p2) AS e, 1 - (((p1 + p2) / 2) ** 2 + (1 - (p1 + p2) / 2) ** 2) AS ea FROM x),
+z AS (SELECT *, (o - e) / (1 - e) AS kappa, 1 - (1 - o) / ea AS alpha FROM y),
+j AS (SELECT {duck.words(duck.norm_iaa("source || ' ' || lang"))} AS t, {duck.words(duck.norm_iaa('source'))} AS u FROM p WHERE a = 1 AND b = 1),
+k AS (SELECT round(100 * avg(CAST(t = u AS INT)), 6) AS exact_match, round(100 * avg({duck.f1('t', 'u')}), 6) AS f1 FROM j)
+SELECT 'annotation' AS mode, shared, shared AS comparable, 0 AS skipped, agreed, mismatches, joint_valid, round(o, 6) AS agreement, round(kappa, 6) AS kappa, {_BAND.format('kappa')} AS kappa_band, round(alpha, 6) AS alpha, {_BAND.format('alpha')} AS alpha_band, exact_match, f1 FROM z, k""")
+def iaa_dispatch(spark, d):
+    got = agreement.compare(_annotations(spark, d, "quality", F.concat_ws(" ", "source", "lang")), _annotations(spark, d, "toxic", F.col("source")))["summary"]
+    return got.withColumns({c: F.round(c, 6) for c in ("agreement", "kappa", "alpha", "exact_match", "f1")})
+
+
+@query(_PAIRS + "SELECT CAST(doc_id AS VARCHAR) AS key, lang AS question, CAST(a AS VARCHAR) AS label, CAST(b AS VARCHAR) AS label_2 FROM p WHERE a <> b ORDER BY 1 LIMIT 20")
+def iaa_mismatches(spark, d):
+    """The first twenty by key, as the report shows them."""
+    got = agreement.compare(_annotations(spark, d, "quality", F.col("source")), _annotations(spark, d, "toxic", F.col("source")))
+    return got["labels"].select("key", "question", "label", "label_2")
 
 
 @query("WITH p AS (SELECT lang, a, nullif(b, 1 - CAST(doc_id % 3 = 0 AS INT)) AS b FROM (SELECT doc_id, max(quality) AS a, max(toxic) AS b FROM labels GROUP BY 1) JOIN documents USING (doc_id)) SELECT lang, count(*) AS shared, count(b) AS comparable, count(*) - count(b) AS skipped, count_if(a = b) AS agreed, count_if(a <> b) AS mismatches, count_if(a = 1 AND b = 1) AS joint_valid FROM p GROUP BY 1")
@@ -108,24 +131,40 @@ def iaa_joint_valid(spark, d):
     return _pairs(spark, d).where("a = 1 and b = 1").select("doc_id", "lang")
 
 
-@query(f"""WITH c AS (SELECT conv_id, turn, role, {duck.words('text')} AS w FROM conversations),
-t AS (SELECT role, {duck.norm_iaa("array_to_string(w[1:5], ' ')")} AS a, {duck.norm_iaa("array_to_string(w[2:6], ' ')")} AS b FROM c WHERE array_to_string(w[1:5], ' ') <> '' AND array_to_string(w[2:6], ' ') <> ''),
-k AS (SELECT role, a, b, {duck.words('a')} AS ta, {duck.words('b')} AS tb FROM t)
+@query(f"""WITH t AS MATERIALIZED (SELECT role, {duck.norm_iaa('text')} AS a, {duck.norm_iaa("string_split(text, chr(10))[1]")} AS b FROM conversations WHERE text <> '' AND string_split(text, chr(10))[1] <> ''),
+k AS MATERIALIZED (SELECT role, a, b, {duck.words('a')} AS ta, {duck.words('b')} AS tb FROM t)
 SELECT role, count(*) AS n, round(100 * avg(CAST(a = b AS INT)), 6) AS exact_match, round(100 * avg({duck.f1('ta', 'tb')}), 6) AS f1, count_if(a <> b) AS mismatches FROM k GROUP BY 1""")
 def iaa_answers(spark, d):
-    rows = table(spark, d, "conversations").select("role", T.tokenize(F.col("text")).alias("w"))
-    pairs = rows.select("role", F.array_join(F.slice("w", 1, 5), " ").alias("a"), F.array_join(F.slice("w", 2, 5), " ").alias("b"))
+    pairs = table(spark, d, "conversations").select("role", F.col("text").alias("a"), F.substring_index("text", "\n", 1).alias("b"))
     return agreement.answers(pairs, "a", "b", "role").select("role", "n", F.round("exact_match", 6).alias("exact_match"), F.round("f1", 6).alias("f1"), "mismatches")
 
 
-@query(f"""WITH x AS (SELECT conv_id, text, row_number() OVER (ORDER BY conv_id) AS pos FROM conversations WHERE turn = 0 AND role = 'system'),
-y AS (SELECT conv_id, text, row_number() OVER (ORDER BY conv_id) AS pos FROM conversations WHERE turn = 0 AND role = 'system')
-SELECT count(*) AS n, round(100 * avg(CAST({duck.norm_iaa('x.text')} = {duck.norm_iaa('y.text')} AS INT)), 6) AS exact_match FROM x JOIN y USING (pos)""")
+@query(f"""SELECT 'legacy' AS mode, count(*) AS n, round(100 * avg(CAST({duck.norm_iaa('text')} = {duck.norm_iaa("string_split(text, chr(10))[1]")} AS INT)), 6) AS exact_match FROM conversations""")
 def iaa_legacy(spark, d):
-    rows = table(spark, d, "conversations").where("turn = 0 and role = 'system'").select(F.col("conv_id").alias("pos"), F.col("text").alias("pred"))
-    both = evaluate.joined(rows.withColumnRenamed("pos", "qid"), rows.select(F.col("pos").alias("qid"), F.col("pred").alias("gold")))
-    em = T.exact_match(F.col("pred"), F.col("gold"), T.normalize_iaa)
-    return both.agg(F.count("*").alias("n"), F.round(100 * F.avg(em.cast("int")), 6).alias("exact_match"))
+    """Every turn's text against its first line, place by place."""
+    rows = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), "text", F.lit(None).cast("string").alias("validity_label"))
+    first, second = rows.withColumnRenamed("text", "answer"), rows.withColumn("answer", F.substring_index("text", "\n", 1))
+    return agreement.compare(first, second)["summary"].select("mode", "n", F.round("exact_match", 6).alias("exact_match"))
+
+
+_TOKENS = f"SELECT conv_id * 1000 + turn AS qid, unnest({duck.words(duck.norm('text'))}) AS token FROM conversations"
+
+
+@query(f"""WITH t AS MATERIALIZED ({_TOKENS}), c AS MATERIALIZED (SELECT qid, token, count(*) AS n FROM t GROUP BY ALL)
+SELECT conv_id * 1000 + turn AS qid, coalesce((SELECT sum(least(x.n, y.n)) FROM c x JOIN c y ON x.token = y.token WHERE x.qid = conv_id * 1000 + turn AND y.qid = conv_id * 1000 + turn - 1), 0)::BIGINT AS overlap FROM conversations""")
+def turn_overlap(spark, d):
+    """How many words a turn shares with the one before it, whatever their lengths."""
+    words = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), T.tokenize(T.normalize_answer(F.col("text"))).alias("a"))
+    before = words.select((F.col("qid") + 1).alias("qid"), F.col("a").alias("b"))
+    return evaluate.overlaps(words.join(before, "qid", "left").withColumn("b", F.coalesce("b", F.array().cast("array<string>"))), "qid", "a", "b").select("qid", "overlap")
+
+
+@query(_BASE + """, t AS (SELECT count(*) AS n, 100.0 * avg(em) AS em, 100 * avg(f1) AS f1 FROM s), z AS (SELECT n.qid, pred FROM s JOIN n USING (qid) WHERE f1 = 0)
+SELECT 0 AS part, 0 AS qid, printf('n=%d  EM=%.2f  F1=%.2f', n, em, f1) AS line FROM t UNION ALL SELECT 3, 0, printf('%d without overlap', count(*)) FROM z UNION ALL SELECT 2, qid, """ + f"CASE WHEN length({duck.collapse('pred')}) > 140 THEN substr({duck.collapse('pred')}, 1, 137) || '...' ELSE {duck.collapse('pred')} END" + """ FROM (SELECT * FROM z ORDER BY qid LIMIT 10)""")
+def eval_report(spark, d):
+    """The report's summary and its rows without overlap, of which it shows ten."""
+    scored = _scored(spark, d)
+    return sinks.report(evaluate.summary(scored), scored).where("part <> 1")
 
 
 @query("SELECT lang, coalesce(min(CASE WHEN quality IS NULL THEN doc_id END), 0) AS first_open, count(quality) AS done, count(*) AS n FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) USING (doc_id) GROUP BY 1")

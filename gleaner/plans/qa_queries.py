@@ -1,5 +1,7 @@
 """Queries of question-answer curation."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
@@ -53,3 +55,21 @@ def qa_limit(spark, d):
 @query("SELECT item_id AS qid, string_split(text, ' ')[1] AS question, text AS answer FROM benchmark")
 def qa_split(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.get(F.split("text", " "), F.lit(0)).alias("question"), F.col("text").alias("answer"))
+
+
+def _pair(context):
+    """A stand-in for a model: three words of a context as a question, the next ones as its answer."""
+    words = context.split()
+    return "Here: " + json.dumps({"question": " ".join(words[:3]) + "?", "answer": " ".join(words[3:6])})
+
+
+@query(f"""WITH t AS MATERIALIZED (SELECT doc_id, source, coalesce(text, '') AS text, {duck.words('text')} AS w, ((doc_id * 7919) % 1000003) * 1000000 + doc_id AS pos FROM documents), s AS (SELECT *, (doc_id * 7919) % greatest(len(w) - 299, 1) AS i FROM t WHERE len(w) >= 30),
+c AS MATERIALIZED (SELECT pos, source AS url, CASE WHEN len(w) <= 300 THEN text ELSE array_to_string(w[i + 1 : i + 300], ' ') END AS context FROM s),
+q AS MATERIALIZED (SELECT pos, url, context, {duck.words('context')} AS w FROM c),
+p AS MATERIALIZED (SELECT pos, url, context, array_to_string(w[1:3], ' ') || '?' AS question, array_to_string(w[4:6], ' ') AS answer FROM q)
+SELECT pos, question, answer, url FROM p WHERE contains(lower(context), lower(answer)) QUALIFY row_number() OVER (PARTITION BY lower(question) ORDER BY pos) = 1 ORDER BY pos LIMIT 500""")
+def qa_chain(spark, d):
+    """From documents, in an order by a hash, to at most five hundred pairs, which is the generator's limit."""
+    pos = ((F.col("doc_id") * 7919) % 1000003) * 1000000 + F.col("doc_id")
+    pages = table(spark, d, "documents").select(pos.alias("pos"), F.col("source").alias("url"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
+    return qa.synthesize(pages, _pair, F.col("doc_id") * 7919)

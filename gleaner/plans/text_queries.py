@@ -40,12 +40,6 @@ def chunk_docs(spark, d):
     return rows.select("doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), "chunk")
 
 
-@query(f"WITH t AS (SELECT page_id, {duck.words('url || chr(10) || html')} AS w FROM pages) " + _CHUNKS.format(key="page_id"))
-def chunk_pages(spark, d):
-    rows = chunk.chunk_table(table(spark, d, "pages"), "page_id", chunk.full_text(F.col("url"), F.col("html")))
-    return rows.select("page_id", F.col("chunk_id").cast("long").alias("chunk_id"), "chunk")
-
-
 @query("""SELECT conv_id, turn, CASE WHEN t = '' THEN 'UNKNOWN' ELSE substr(trim(string_split(t, chr(10))[1]), 1, 80) END AS answer, trim(replace(coalesce(text, ''), chr(10), ' ')) AS line
 FROM (SELECT *, trim(text, ' ' || chr(10)) AS t FROM conversations)""")
 def answer_clean(spark, d):
@@ -76,9 +70,20 @@ t AS (SELECT page_id, html, array_to_string(list_filter(list_transform(string_sp
 """
 
 
-@query(_PAGE_TEXT + "SELECT page_id, text FROM t")
+_TITLE = _STR("replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')")
+
+
+@query(_PAGE_TEXT + f", i AS (SELECT page_id, text, {_TITLE} AS title FROM t), f AS (SELECT page_id, CASE WHEN title <> '' THEN title || chr(10) || text ELSE text END AS text FROM i), w AS (SELECT page_id, {duck.words('text')} AS w FROM f) " + _CHUNKS.format(key="page_id").replace("FROM t WHERE", "FROM w WHERE"))
+def chunk_pages(spark, d):
+    """Title and text of every page in windows of words."""
+    pages = table(spark, d, "pages").select("page_id", chunk.full_text(html.plain_title(F.col("html")), html.plain_text(F.col("html"))).alias("text"))
+    rows = chunk.chunk_table(pages, "page_id", F.col("text"))
+    return rows.select("page_id", F.col("chunk_id").cast("long").alias("chunk_id"), "chunk")
+
+
+@query(_PAGE_TEXT + f"SELECT page_id, {_TITLE} AS title, text FROM t")
 def html_text_v1(spark, d):
-    return table(spark, d, "pages").select("page_id", html.html_text_v1(F.col("html"))["text"].alias("text"))
+    return table(spark, d, "pages").select("page_id", html.html_text_v1(F.col("html")).alias("t")).select("page_id", "t.*")
 
 
 @query(_PAGE_TEXT + "SELECT page_id, text FROM t")

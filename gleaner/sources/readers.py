@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
@@ -24,6 +24,12 @@ def _lines(spark: SparkSession, path: str, keep_blank: bool) -> DataFrame:
     return rows.select(F.monotonically_increasing_id().alias("qid"), "value")
 
 
+def question_column(spark: SparkSession, path: str) -> DataFrame:
+    """(qid, question) of a JSON Lines file, blank ones included."""
+    rows = spark.read.schema(QA).json(path).coalesce(1).select(F.coalesce("question", F.lit("")).alias("question"))
+    return rows.select(F.monotonically_increasing_id().alias("qid"), "question")
+
+
 def questions(spark: SparkSession, path: str) -> DataFrame:
     """(qid, question) of a .jsonl or text file; blank ones are left out."""
     if path.endswith(".jsonl"):
@@ -46,12 +52,55 @@ def golds(spark: SparkSession, path: str) -> DataFrame:
     return _lines(spark, path, True).select("qid", T.split_golds(F.col("value")).alias("golds"))
 
 
+def _is_array(spark: SparkSession, path: str) -> bool:
+    """Whether the first character of a file that isn't white space opens an array."""
+    first = spark.read.text(path).where("trim(value) <> ''").select(T.strip(F.col("value")).alias("v")).first()
+    return first is not None and first.v.startswith("[")
+
+
 def annotations(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array or JSON Lines file, with the row's number as pos."""
-    rows = spark.read.schema(ANNOTATION).json(path, multiLine=not path.endswith(".jsonl")).coalesce(1)
+    """A JSON array or JSON Lines file, whichever its content is, with the row's number as pos."""
+    rows = spark.read.schema(ANNOTATION).json(path, multiLine=_is_array(spark, path)).coalesce(1)
     return rows.withColumn("pos", F.monotonically_increasing_id())
 
 
+def reference_lists(spark: SparkSession, path: str) -> DataFrame:
+    """(qid, golds) of a JSON array whose elements are each a text or a list of texts."""
+    whole = spark.read.text(path, wholetext=True).select(F.expr("try_parse_json(value)").alias("v"))
+    items = whole.select(F.posexplode(F.expr("cast(v as array<variant>)")).alias("qid", "v"))
+    listed = F.when(F.expr("schema_of_variant(v)").startswith("ARRAY"), F.expr("try_variant_get(v, '$', 'array<string>')")).otherwise(F.array(F.expr("try_variant_get(v, '$', 'string')")))
+    return items.select(F.col("qid").cast("long").alias("qid"), listed.alias("golds"))
+
+
+def read_env(text: str) -> dict[str, str]:
+    """Names and values of lines NAME=value; the first = divides, lines that begin with # and those without = don't count."""
+    found = {}
+    for line in map(str.strip, text.splitlines()):
+        if "=" in line and not line.startswith("#"):
+            name, _, value = line.partition("=")
+            found[name.strip()] = value.strip()
+    return found
+
+
+def head(rows: DataFrame, key: str, n: int = 20) -> DataFrame:
+    return rows.orderBy(key).limit(n)
+
+
+def beside(rows: DataFrame, key: str) -> DataFrame:
+    """Each row's place among the keys, with the keys before and after it, its own at the ends.
+
+    The order is over all rows, as for a list that people go through: for task lists, not for corpora.
+    """
+    order = Window.orderBy(key)
+    near = lambda f: F.coalesce(f(key).over(order), F.col(key))
+    return rows.select(key, (F.row_number().over(order) - 1).cast("long").alias("idx"), near(F.lag).alias("before"), near(F.lead).alias("after"))
+
+
+def clamped(idx: int, n: int) -> int:
+    """A place within a list of n, the nearest if it is outside."""
+    return max(0, min(idx, n - 1))
+
+
 def first_seen(lines: DataFrame) -> DataFrame:
     """(url, pos) of each distinct URL, where it came first."""
     return lines.groupBy("url").agg(F.min("pos").alias("pos"))
