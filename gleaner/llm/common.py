@@ -25,10 +25,9 @@ TEXT_BLOCK = 4 << 20
 
 @lru_cache(maxsize=1)
 def _libc():
-    """The C library, told to give blocks of a megabyte and more back when they are freed; None where it can't be told."""
+    """The C library, where it can be told to return free memory."""
     try:
         found = ctypes.CDLL("libc.so.6")
-        found.mallopt(-3, 1 << 20)  # from this size on blocks are mapped, at any time
         found.malloc_trim(0)
     except (OSError, AttributeError):
         return None
@@ -47,7 +46,6 @@ def tidy(run):
 
     @wraps(run)
     def wrapped(batches):
-        _libc()
         try:
             yield from run(batches)
         finally:

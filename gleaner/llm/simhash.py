@@ -173,19 +173,19 @@ def _named(batches):
 
 
 def _sets(words: int, counts):
-    """Shingle sets in order, each for the ranges of sizes that it is wanted in."""
+    """Shingle sets in order, each for the groups that it is wanted in."""
 
     def run(batches):
-        for batch in in_blocks(batches, 3):
+        for batch in in_blocks(batches, 2):
             rows = []
-            for group, ranges, node, text in zip(*(batch.column(k).to_pylist() for k in range(3)), as_bytes(batch.column(3)), strict=True):
+            for groups, node, text in zip(*(batch.column(k).to_pylist() for k in range(2)), as_bytes(batch.column(2)), strict=True):
                 if int(signed(np.array([_node(text)], np.uint64))[0]) != node:
                     continue  # another text of the same doc_id
                 h = in_order(np.unique(hashes(text, words)), counts.value).tobytes()
-                rows += [(group, r, node, h) for r in ranges]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["group", "sizes", "node", "shingles"])
+                rows += [(group, node, h) for group in groups]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            kinds = (pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["group", "node", "shingles"])
 
     return run
 
@@ -265,7 +265,7 @@ def similar_labels(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 
 
 def _verify(similarity: float):
-    """For mapInArrow over sets sorted by (group, sizes): a spanning forest of the links of each."""
+    """For mapInArrow over sets sorted by group and node: a spanning forest of the links of each group."""
 
     def links(rows):
         if len(rows) < 2:
@@ -279,10 +279,10 @@ def _verify(similarity: float):
     def run(batches):
         key, rows = None, []
         for batch in batches:
-            for group, sizes, node, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (group, sizes) != key:
+            for group, node, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group != key:
                     yield from links(rows)
-                    key, rows = (group, sizes), []
+                    key, rows = group, []
                 if not rows or rows[-1][0] != node:
                     rows.append((node, shingles))
         yield from links(rows)
@@ -295,34 +295,41 @@ def near_duplicates(docs: DataFrame, words: int = STAGE_WORDS, similarity: float
     similarity of ``similarity`` or more, its own where there are none.
 
     Texts equal but for case and white space are one node from the start.  Texts without words are alike.  A null
-    doc_id is grouped but is no group's id while another is there.  Groups are handled by ranges of set sizes, so
-    a task holds the sets of one range of one class of candidates.  A text takes part once, whether or not its rows
+    doc_id is grouped but is no group's id while another is there.  Candidates are classes of sets of like sizes
+    that shared shingles connect; a task holds the sets of one such class.  A text takes part once, whether or not its rows
     have ids.
     """
     narrow = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
     counts = docs.sparkSession.sparkContext.broadcast(shingle_order(narrow, words))
     sketch = checkpoint(narrow.mapInArrow(tidy(_sketches(words, similarity, counts)), "doc_id bigint, node bigint, print bigint, keys array<bigint>, range int"))
     nodes = checkpoint(sketch.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("print").alias("print"), F.min("range").alias("range"), F.first("keys").alias("keys")))
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    stars = keyed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top")
-    by_key = keyed.join(regrouped(stars, "key"), "key").where("node <> b").select(F.col("node").alias("a"), "b")
-    by_print = nodes.groupBy("print").agg(F.min("node").alias("id"))
-    same = nodes.join(regrouped(by_print, "print"), "print").select(F.col("node").alias("a"), F.col("id").alias("b"))
-    candidates = connected_components(by_key.unionByName(same).unionByName(hamming_links(by_print)))
-    # a set is wanted in its own range of sizes and the next smaller one, where its class has another one there
-    ranged = checkpoint(nodes.select("node", "first", "range").join(candidates, "node").select("first", "node", "component", F.explode(F.array("range", F.col("range") - 1)).alias("range")))
-    several = ranged.groupBy("component", "range").agg(F.count("*").alias("n")).where("n > 1").select(F.col("component").alias("component_"), "range")
-    several = regrouped(several, "component_")
-    wanted = ranged.join(several, (F.col("component") == F.col("component_")) & ranged["range"].eqNullSafe(several["range"]), "left_semi")
-    members = checkpoint(wanted.groupBy("node").agg(F.min("first").alias("first"), F.min("component").alias("component"), F.collect_list("range").alias("ranges")))
+    # candidates are sought among sets of like sizes: a node is one in its own range and one in the next smaller
+    both = F.explode(F.array("range", F.col("range") - 1))
+    within = lambda node: F.xxhash64(node, "range")
+    keyed = nodes.select("node", "range", F.explode("keys").alias("key"))
+    several = keyed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top").select("key")
+    shared = keyed.join(regrouped(several, "key"), "key").select("key", "node", both.alias("range")).select(F.xxhash64("key", "range").alias("key"), within("node").alias("a"))
+    shared = checkpoint(shared)
+    stars = shared.groupBy("key").agg(F.min("a").alias("b"))
+    by_key = shared.join(regrouped(stars, "key"), "key").where("a <> b").select("a", "b")
+    by_print = nodes.groupBy("print").agg(F.min_by(F.struct("node", "range"), "node").alias("least")).select("print", F.col("least.node").alias("id"), F.col("least.range").alias("range"))
+    same = nodes.join(regrouped(by_print.drop("range"), "print"), "print").select("node", "id", both.alias("range"))
+    near = hamming_links(by_print.select("id", "print")).join(by_print.select(F.col("id").alias("a"), "range"), "a").select(F.col("a").alias("node"), F.col("b").alias("id"), both.alias("range"))
+    by_print_edges = same.unionByName(near).select(within("node").alias("a"), within("id").alias("b"))
+    candidates = connected_components(by_key.unionByName(by_print_edges)).withColumnRenamed("node", "within")
+    ranged = nodes.select("node", "first", both.alias("range")).select("node", "first", within("node").alias("within"))
+    ranged = checkpoint(ranged.join(candidates, "within").select("node", "first", "component"))
+    several = regrouped(ranged.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component"), "component")
+    wanted = ranged.join(several, "component", "left_semi")
+    members = checkpoint(wanted.groupBy("node").agg(F.min("first").alias("first"), F.collect_list("component").alias("groups")))
     few = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
-    texts = narrow.join(few, narrow["doc_id"] == few["first"]).select("component", "ranges", "node", "text")
+    texts = narrow.join(few, narrow["doc_id"] == few["first"]).select("groups", "node", "text")
     if members.where("first is null").count():
         named = narrow.where("doc_id is null").select("text").mapInArrow(tidy(_named), "named bigint, text string")
-        without = members.where("first is null").select("component", "ranges", "node")
-        texts = texts.unionByName(named.join(without, named["named"] == without["node"]).select("component", "ranges", "node", "text"))
-    sets = texts.mapInArrow(tidy(_sets(words, counts)), "group bigint, sizes int, node bigint, shingles binary")
-    links = sets.repartition("group", "sizes").sortWithinPartitions("group", "sizes", "node").mapInArrow(tidy(_verify(similarity)), "a bigint, b bigint")
+        without = members.where("first is null").select("groups", "node")
+        texts = texts.unionByName(named.join(without, named["named"] == without["node"]).select("groups", "node", "text"))
+    sets = texts.mapInArrow(tidy(_sets(words, counts)), "group bigint, node bigint, shingles binary")
+    links = sets.repartition("group").sortWithinPartitions("group", "node").mapInArrow(tidy(_verify(similarity)), "a bigint, b bigint")
     classes = connected_components(links)
     named = nodes.select("node", "first").join(classes, "node", "left").select("node", "first", F.coalesce("component", "node").alias("class"))
     smallest = named.groupBy("class").agg(F.min("first").alias("group_id"))
