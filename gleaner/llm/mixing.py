@@ -123,15 +123,18 @@ def mixed(docs: DataFrame) -> DataFrame:
     shares = shares.agg(F.sum("copies").alias("all_"), F.count("*").alias("rows_")).where("all_ > 0")
     shares = checkpoint(shares.select("doc_id_", "source_", "size_", F.expr("all_ div rows_").alias("each_"), (F.col("all_") % F.col("rows_")).alias("more_")))
     few = F.broadcast(shares) if shares.count() <= BROADCAST_SHARES else shares
-    on = docs["doc_id"].eqNullSafe(F.col("doc_id_")) & docs["source"].cast("string").eqNullSafe(F.col("source_")) & (size_of(docs["text"]) == F.col("size_"))
-    rows = docs.join(few, on)
+    # the row itself is one column, so none of its names can clash with those used here
+    whole = F.struct(*(docs[c] for c in docs.columns)).alias("row_")
+    keyed = docs.select(whole, docs["doc_id"].alias("id_"), docs["source"].cast("string").alias("from_"), size_of(docs["text"]).alias("words_"), F.xxhash64(docs["text"]).alias("hash_"))
+    on = F.col("id_").eqNullSafe(F.col("doc_id_")) & F.col("from_").eqNullSafe(F.col("source_")) & (F.col("words_") == F.col("size_"))
+    rows = keyed.join(few, on)
     taken = rows.where("more_ = 0").withColumn("copies_", F.col("each_"))
     if shares.where("more_ > 0").count():
-        rank = F.row_number().over(Window.partitionBy("doc_id_", "source_", "size_").orderBy(F.xxhash64(docs["text"])))
+        rank = F.row_number().over(Window.partitionBy("doc_id_", "source_", "size_").orderBy("hash_"))
         uneven = rows.where("more_ > 0").withColumn("rank_", rank)
         taken = taken.unionByName(uneven.withColumn("copies_", F.col("each_") + (F.col("rank_") <= F.col("more_")).cast("long")).drop("rank_"))
     taken = taken.where("copies_ > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies_"))))
-    return taken.select(*docs.columns)
+    return taken.select("row_.*")
 
 
 def _copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

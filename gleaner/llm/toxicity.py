@@ -14,7 +14,6 @@ the model grows with the different n-grams of those rows: about 24 bytes for eac
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
