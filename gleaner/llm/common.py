@@ -35,7 +35,7 @@ def _libc():
 
 
 def give_back() -> None:
-    """Return the memory that a Python worker holds but doesn't use: workers outlive their tasks."""
+    """Return the memory that a Python process holds but doesn't use: workers outlive their tasks, the driver its steps."""
     pa.default_memory_pool().release_unused()
     if (c := _libc()) is not None:
         c.malloc_trim(0)

@@ -341,6 +341,7 @@ def matchers(docs: DataFrame, benchmark: DataFrame):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
         used, basis, _ = svd(mine, idf)
         listed = mine.orderBy("item_id", "text").toArrow()
+        give_back()
         yield Matcher(listed.column(0).to_pylist(), listed.column(1).to_pylist(), idf, used, basis)
 
 

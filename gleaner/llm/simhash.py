@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import as_bytes, checkpoint, in_blocks, in_pieces, regrouped, signed, tidy, whole_text
+from gleaner.llm.common import as_bytes, checkpoint, give_back, in_blocks, in_pieces, regrouped, signed, tidy, whole_text
 from gleaner.llm.components import connected_components
 from gleaner.llm.hamming import RADIUS, hamming_links
 
@@ -120,6 +120,8 @@ def shingle_order(narrow: DataFrame, words: int) -> np.ndarray:
     got = sample.mapInArrow(tidy(count), "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << COUNT_BITS, np.int32)
     out[got.column("slot").to_numpy()] = np.minimum(got.column("n").to_numpy(), np.iinfo(np.int32).max)
+    del got
+    give_back()
     return out
 
 

@@ -202,6 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: tuple[int, ...] = (1, 2, 3)
     counted = rows.where(fold(F.col("doc_id")).isin(*folds)).select("text", "toxic").mapInArrow(tidy(_count), COUNTS)
     summed = counted.groupBy("gram_order", "gram").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
     model = model_of(summed.toArrow())
+    give_back()  # the summed counts are larger than the model
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def fit(batches):
@@ -224,6 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: tuple[int, ...] = (1, 2, 3)
 def scorer(spark, model: Model):
     """A Column function: the score of a text column; a null is an empty text."""
     shared = spark.sparkContext.broadcast(model)
+    give_back()
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
