@@ -2,7 +2,8 @@
 
 Each step is a grouped minimum and a join, so neither edges nor components come to the driver and no task
 gathers a node's neighbours: a hub's rows are only joined with its minimum, in a join that deals both sides out
-itself, as adaptive execution can split a hub's rows in no other.  Every round is checkpointed to the shared folder.
+itself, as adaptive execution can split a hub's rows in no other.  Every round is checkpointed to the shared folder, and
+the one before it deleted.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import checkpoint, regrouped
+from gleaner.llm.common import checkpoint, regrouped, release
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -27,7 +28,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(regrouped(least, "u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(regrouped(least, "u"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = checkpoint(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        last, now = now, checkpoint(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        release(last)
         before, state = state, now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if before == state:
             break

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import as_bytes, checkpoint, give_back, in_blocks, in_pieces, regrouped, signed, tidy, whole_text
+from gleaner.llm.common import as_bytes, batch_of, checkpoint, give_back, in_blocks, in_pieces, regrouped, release, signed, tidy, whole_text
 from gleaner.llm.components import connected_components
 from gleaner.llm.hamming import RADIUS, hamming_links
 
@@ -174,22 +175,72 @@ def _named(batches):
         yield pa.RecordBatch.from_arrays([pa.array(signed(np.array(nodes, np.uint64))), batch.column(0)], names=["named", "text"])
 
 
-def _sets(words: int, counts):
-    """Shingle sets in order, each for the groups that it is wanted in."""
-
-    def run(batches):
-        for batch in in_blocks(batches, 2):
-            rows = []
-            for groups, node, text in zip(*(batch.column(k).to_pylist() for k in range(2)), as_bytes(batch.column(2)), strict=True):
-                if int(signed(np.array([_node(text)], np.uint64))[0]) != node:
-                    continue  # another text of the same doc_id
-                h = in_order(np.unique(hashes(text, words)), counts.value).tobytes()
-                rows += [(group, node, h) for group in groups]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
-            kinds = (pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["group", "node", "shingles"])
-
-    return run
+def _key_rows(batches):
+    """(key, range, node, other) of every prefix, for one shuffle.  Of a batch's nodes with one key and range only the least
+    goes out with it, so a key that most texts have is a row a batch; the others' edges to it are rows too, with ``other``."""
+    for batch in in_pieces(batches, 4000):
+        node, size, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+        n = pc.list_value_length(keys).to_numpy()
+        key, size, node = keys.flatten().to_numpy(), np.repeat(size, n), np.repeat(node, n)
+        order = np.lexsort((node, size, key))
+        key, size, node = key[order], size[order], node[order]
+        new, least = _runs(node, key, size)
+        rest = np.flatnonzero(node != least)
+        a, b, at = _distinct(node[rest], least[rest], size[rest])
+        none = pa.nulls(int(new.sum()), pa.int64())
+        yield batch_of(key=key[new], range=size[new], node=node[new], other=none)
+        yield batch_of(key=a, range=at, node=a, other=b)
+
+
+def _stars(batches):
+    """(a, b, range, below) from key rows sorted by key, range and node: edges in a range and, where ``below``, in the next
+    smaller one as well.  Nodes of one key are linked if their ranges are the same or neighbours."""
+    key, size, node = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+    for batch in batches:
+        there = pc.is_valid(batch.column(3)).to_numpy(zero_copy_only=False)
+        own = [batch.column(c).to_numpy() for c in range(3)]
+        edges = [own[2][there], batch.column(3).drop_null().to_numpy(), own[1][there]]
+        key, size, node = (np.concatenate([held, x[~there]]) for held, x in zip((key, size, node), own, strict=True))
+        new, least = _runs(node, key, size)
+        rest = np.flatnonzero(node != least)
+        a, b, at = _distinct(*(np.concatenate(x) for x in zip(edges, (node[rest], least[rest], size[rest]), strict=True)))
+        yield batch_of(a=a, b=b, range=at, below=np.ones(len(a), bool))
+        key, size, node = key[new], size[new], node[new]
+        near = np.flatnonzero((key[1:] == key[:-1]) & (size[1:] == size[:-1] + 1) & (node[1:] != node[:-1]))
+        a, b, at = _distinct(node[near], node[near + 1], size[near])
+        yield batch_of(a=a, b=b, range=at, below=np.zeros(len(a), bool))
+        key, size, node = key[-1:], size[-1:], node[-1:]  # the next batch may go on with them
+
+
+def _runs(node: np.ndarray, *by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where a run of equal values begins, the first node of each row's run)."""
+    new = np.ones(len(node), bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in by])
+    return new, node[np.flatnonzero(new)][np.cumsum(new) - 1]
+
+
+def _distinct(a: np.ndarray, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same triples, each once."""
+    order = np.lexsort((at, b, a))
+    a, b, at = a[order], b[order], at[order]
+    new = _runs(a, a, b, at)[0]
+    return a[new], b[new], at[new]
+
+
+def _packed(batches):
+    """Whole texts, compressed, each for the groups that it is wanted in: a fraction of what its shingles' hashes take."""
+    codec = pa.Codec("zstd")
+    for batch in in_blocks(batches, 2):
+        rows = []
+        for groups, node, text in zip(*(batch.column(k).to_pylist() for k in range(2)), as_bytes(batch.column(2)), strict=True):
+            if int(signed(np.array([_node(text)], np.uint64))[0]) != node:
+                continue  # another text of the same doc_id
+            words = b" ".join(text.lower().split())
+            packed = codec.compress(words, asbytes=True)
+            rows += [(group, node, len(words), packed) for group in groups]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["group", "node", "size", "packed"])
 
 
 def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -266,27 +317,29 @@ def similar_labels(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return np.array([root(i) for i in range(len(sets))])
 
 
-def _verify(similarity: float):
-    """For mapInArrow over sets sorted by group and node: a spanning forest of the links of each group."""
+def _verify(words: int, similarity: float, counts):
+    """For mapInArrow over packed texts sorted by group and node: a spanning forest of the links of each group."""
 
     def links(rows):
         if len(rows) < 2:
             return
         ids = np.array([r[0] for r in rows])
-        label = similar_labels([np.frombuffer(r[1], np.uint64) for r in rows], similarity)
+        label = similar_labels([r[1] for r in rows], similarity)
         moved = label != np.arange(len(label))
         if moved.any():
             yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["a", "b"])
 
     def run(batches):
+        codec = pa.Codec("zstd")
         key, rows = None, []
         for batch in batches:
-            for group, node, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for group, node, size, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group != key:
                     yield from links(rows)
                     key, rows = group, []
                 if not rows or rows[-1][0] != node:
-                    rows.append((node, shingles))
+                    text = codec.decompress(packed, size, asbytes=True) if size else b""
+                    rows.append((node, in_order(np.unique(hashes(text, words)), counts.value)))
         yield from links(rows)
 
     return run
@@ -301,42 +354,69 @@ def near_duplicates(docs: DataFrame, words: int = STAGE_WORDS, similarity: float
     that shared shingles connect; a task holds the sets of one such class.  A text takes part once, whether or not its rows
     have ids.
     """
+    spark = docs.sparkSession
     narrow = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    counts = docs.sparkSession.sparkContext.broadcast(shingle_order(narrow, words))
-    sketch = checkpoint(narrow.mapInArrow(tidy(_sketches(words, similarity, counts)), "doc_id bigint, node bigint, print bigint, keys array<bigint>, range int"))
-    nodes = checkpoint(sketch.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("print").alias("print"), F.min("range").alias("range"), F.first("keys").alias("keys")))
-    # candidates are sought among sets of like sizes: a node is one in its own range and one in the next smaller
-    both = F.explode(F.array("range", F.col("range") - 1))
-    within = lambda node: F.xxhash64(node, "range")
-    keyed = nodes.select("node", "range", F.explode("keys").alias("key"))
-    several = keyed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top").select("key")
-    shared = keyed.join(regrouped(several, "key"), "key").select("key", "node", both.alias("range")).select(F.xxhash64("key", "range").alias("key"), within("node").alias("a"))
-    shared = checkpoint(shared)
-    stars = shared.groupBy("key").agg(F.min("a").alias("b"))
-    by_key = shared.join(regrouped(stars, "key"), "key").where("a <> b").select("a", "b")
-    by_print = nodes.groupBy("print").agg(F.min_by(F.struct("node", "range"), "node").alias("least")).select("print", F.col("least.node").alias("id"), F.col("least.range").alias("range"))
-    same = nodes.join(regrouped(by_print.drop("range"), "print"), "print").select("node", "id", both.alias("range"))
-    near = hamming_links(by_print.select("id", "print")).join(by_print.select(F.col("id").alias("a"), "range"), "a").select(F.col("a").alias("node"), F.col("b").alias("id"), both.alias("range"))
-    by_print_edges = same.unionByName(near).select(within("node").alias("a"), within("id").alias("b"))
-    candidates = connected_components(by_key.unionByName(by_print_edges)).withColumnRenamed("node", "within")
-    ranged = nodes.select("node", "first", both.alias("range")).select("node", "first", within("node").alias("within"))
-    ranged = checkpoint(ranged.join(candidates, "within").select("node", "first", "component"))
-    several = regrouped(ranged.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component"), "component")
-    wanted = ranged.join(several, "component", "left_semi")
-    members = checkpoint(wanted.groupBy("node").agg(F.min("first").alias("first"), F.collect_list("component").alias("groups")))
+    counts = spark.sparkContext.broadcast(shingle_order(narrow, words))
+    rows, nodes, candidates = _candidates(narrow, words, similarity, counts)
+    members = _members(nodes, candidates)
+    release(candidates)
     few = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
     texts = narrow.join(few, narrow["doc_id"] == few["first"]).select("groups", "node", "text")
     if members.where("first is null").count():
         named = narrow.where("doc_id is null").select("text").mapInArrow(tidy(_named), "named bigint, text string")
         without = members.where("first is null").select("groups", "node")
         texts = texts.unionByName(named.join(without, named["named"] == without["node"]).select("groups", "node", "text"))
-    sets = texts.mapInArrow(tidy(_sets(words, counts)), "group bigint, node bigint, shingles binary")
-    links = sets.repartition("group").sortWithinPartitions("group", "node").mapInArrow(tidy(_verify(similarity)), "a bigint, b bigint")
+    packed = texts.mapInArrow(tidy(_packed), "group bigint, node bigint, size bigint, packed binary")
+    links = checkpoint(packed.repartition("group").sortWithinPartitions("group", "node").mapInArrow(tidy(_verify(words, similarity, counts)), "a bigint, b bigint"))
+    release(members)
     classes = connected_components(links)
     named = nodes.select("node", "first").join(classes, "node", "left").select("node", "first", F.coalesce("component", "node").alias("class"))
     smallest = named.groupBy("class").agg(F.min("first").alias("group_id"))
     named = checkpoint(named.join(regrouped(smallest, "class"), "class").select("node", "group_id"))
-    return sketch.select("doc_id", "node").join(named, "node").select("doc_id", "group_id")
+    for done in (links, nodes):
+        release(done)
+    return rows.join(named, "node").select("doc_id", "group_id")
+
+
+def _candidates(narrow: DataFrame, words: int, similarity: float, counts) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id and node of every row; first, print and range of every node; the component of nodes in ranges).
+
+    Candidates are sought among sets of like sizes: a node is one in its own range and one in the next smaller.
+    """
+    spark = narrow.sparkSession
+    sketch = checkpoint(narrow.mapInArrow(tidy(_sketches(words, similarity, counts)), "doc_id bigint, node bigint, print bigint, keys array<bigint>, range int"))
+    rows = checkpoint(sketch.select("doc_id", "node"))
+    nodes = checkpoint(sketch.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("print").alias("print"), F.min("range").alias("range")))
+    keyed = sketch.select("node", "range", "keys").mapInArrow(tidy(_key_rows), "key bigint, range int, node bigint, other bigint")
+    stars = keyed.repartition("key").sortWithinPartitions("key", "range", "node").mapInArrow(tidy(_stars), "a bigint, b bigint, range int, below boolean")
+    stars = checkpoint(stars.distinct())
+    release(sketch)
+    both = F.array("range", F.col("range") - 1)
+    within = lambda node: F.xxhash64(node, "range")
+    by_key = stars.select("a", "b", F.explode(F.when(F.col("below"), both).otherwise(F.array("range"))).alias("range"))
+    by_print = nodes.groupBy("print").agg(F.min_by(F.struct("node", "range"), "node").alias("least")).select("print", F.col("least.node").alias("id"), F.col("least.range").alias("range"))
+    by_print = checkpoint(by_print)
+    same = nodes.join(regrouped(by_print.drop("range"), "print"), "print").select(F.col("node").alias("a"), F.col("id").alias("b"), F.explode(both).alias("range"))
+    near = hamming_links(by_print.select("id", "print")).join(by_print.select(F.col("id").alias("a"), "range"), "a").select("a", "b", F.explode(both).alias("range"))
+    found = connected_components(by_key.unionByName(same).unionByName(near).select(within("a").alias("a"), within("b").alias("b")))
+    for done in (stars, by_print):
+        release(done)
+    return rows, nodes, found
+
+
+def _members(nodes: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(node, first, groups): the classes of candidates that each node's set is wanted in.
+
+    A class whose sets are all in the smaller of its two ranges is part of a class one range below, so it isn't gone through.
+    """
+    ranged = nodes.select("node", "first", "range", F.explode(F.array("range", F.col("range") - 1)).alias("at"))
+    ranged = ranged.select("node", "first", F.xxhash64("node", "at").alias("within"), (F.col("range") > F.col("at")).alias("upper"))
+    ranged = checkpoint(ranged.join(candidates.withColumnRenamed("node", "within"), "within").select("node", "first", "component", "upper"))
+    several = ranged.groupBy("component").agg(F.count("*").alias("n"), F.max("upper").alias("any")).where("n > 1 and any").select("component")
+    wanted = ranged.join(regrouped(several, "component"), "component", "left_semi")
+    members = checkpoint(wanted.groupBy("node").agg(F.min("first").alias("first"), F.collect_list("component").alias("groups")))
+    release(ranged)
+    return members
 
 
 def without_near_duplicates(docs: DataFrame, words: int = STAGE_WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -1,16 +1,18 @@
 """Edge cases of every operator: nulls, empty and odd texts, repeated rows, empty tables, clashing extra columns."""
 
 import hashlib
+import os
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleaner.llm import components, decontaminate, hamming, media, mixing, pii, repair, simhash, tokencount, toxicity, urlfilter, warc
+from gleaner.llm import common, components, decontaminate, hamming, media, mixing, pii, repair, simhash, tokencount, toxicity, urlfilter, warc
 from gleaner.llm.tokenizing import ids_of, vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, node long, size long, copies long, score double"
@@ -93,6 +95,54 @@ def test_near_duplicates_through_texts_without_ids(spark):
     assert linked(spark, [(1, step(0)), (None, step(8)), (2, step(16))]) == {(1, 1), (None, 1), (2, 1)}
 
 
+def shuffles_and_checkpoints(spark):
+    """How many shuffles have files, and the folders of checkpoints that do."""
+    folder = common.shared_dir(spark)
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    return tracker.shuffleStatuses().size(), {d for d, _, files in os.walk(folder.removeprefix("file://")) if any("part-" in f for f in files)}
+
+
+def test_near_duplicates_leave_little_on_disk(spark):
+    """Shuffle files go with the checkpoint that they were for, checkpoints with the last step that reads them."""
+    rows = [(k, " ".join(f"w{k // 3}x{j}" for j in range(60)) + f" end{k % 3}") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shuffles, folders = shuffles_and_checkpoints(spark)
+    result = simhash.near_duplicates(docs)
+    after, left = shuffles_and_checkpoints(spark)
+    assert after - shuffles <= 10 and len(left - folders) <= 6
+    assert {(r.doc_id, r.group_id) for r in result.collect()} == {(k, k - k % 3) for k in range(30)}
+
+
+def test_stars_of_keys():
+    """Nodes that share a key in like ranges are linked, whatever the batches; a key of all nodes costs a row a batch."""
+    rng = np.random.default_rng(23)
+    nodes = np.unique(rng.integers(-(1 << 62), 1 << 62, 300))
+    ranges = rng.integers(0, 4, len(nodes)).astype(np.int32)
+    keys = [np.unique(np.r_[7, rng.integers(100, 400, 2)]) for _ in nodes]
+    listed = pa.array([k.tolist() for k in keys], pa.list_(pa.int64()))
+    batches = [pa.RecordBatch.from_arrays([pa.array(nodes[s]), pa.array(ranges[s]), listed[s.start : s.stop]], names=["node", "range", "keys"]) for s in (slice(0, 120), slice(120, 300))]
+    table = pa.Table.from_batches(list(simhash._key_rows(batches))).sort_by([("key", "ascending"), ("range", "ascending"), ("node", "ascending")])
+    own = table.filter(pc.and_(pc.equal(table["key"], 7), pc.is_null(table["other"])))
+    assert own.num_rows <= 2 * 4  # of 300 nodes, in two batches and four ranges
+    edges = [e for b in simhash._stars(table.to_batches(max_chunksize=50)) for e in b.to_pylist()]
+    got, want = {}, {}
+    for e in edges:
+        for at in (e["range"], e["range"] - 1)[: 1 + e["below"]]:
+            got.setdefault(at, []).append((e["a"], e["b"]))
+    for at in range(-1, 4):
+        here = [k for k in range(len(nodes)) if ranges[k] in (at, at + 1)]
+        for key in range(400):
+            same = [int(nodes[k]) for k in here if key in keys[k]]
+            want.setdefault(at, []).extend((same[0], x) for x in same[1:])
+    names = {int(n): k for k, n in enumerate(nodes)}
+    for at, pairs in want.items():
+        labels = []
+        for found in (pairs, got.get(at, [])):
+            a, b = (np.array([names[p[k]] for p in found], np.int64) for k in (0, 1))
+            labels.append(hamming.merge(np.arange(len(nodes)), a, b).tolist())
+        assert labels[0] == labels[1]
+
+
 def test_near_duplicate_stage_keeps_columns(docs):
     kept = simhash.without_near_duplicates(docs)
     assert kept.columns == docs.columns
