@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import checkpoint, regrouped, release
+from gleaner.llm.common import checkpoint, regrouped, release, settle
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -30,6 +30,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.join(regrouped(least, "u"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         last, now = now, checkpoint(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         release(last)
+        settle(edges.sparkSession)
         before, state = state, now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if before == state:
             break

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import as_bytes, batch_of, checkpoint, give_back, in_blocks, in_pieces, regrouped, release, signed, tidy, whole_text
+from gleaner.llm.common import as_bytes, batch_of, checkpoint, give_back, in_blocks, in_pieces, regrouped, release, settle, signed, tidy, whole_text
 from gleaner.llm.components import connected_components
 from gleaner.llm.hamming import RADIUS, hamming_links
 
@@ -358,6 +358,7 @@ def near_duplicates(docs: DataFrame, words: int = STAGE_WORDS, similarity: float
     narrow = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
     counts = spark.sparkContext.broadcast(shingle_order(narrow, words))
     rows, nodes, candidates = _candidates(narrow, words, similarity, counts)
+    settle(spark)
     members = _members(nodes, candidates)
     release(candidates)
     few = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
@@ -369,12 +370,14 @@ def near_duplicates(docs: DataFrame, words: int = STAGE_WORDS, similarity: float
     packed = texts.mapInArrow(tidy(_packed), "group bigint, node bigint, size bigint, packed binary")
     links = checkpoint(packed.repartition("group").sortWithinPartitions("group", "node").mapInArrow(tidy(_verify(words, similarity, counts)), "a bigint, b bigint"))
     release(members)
+    settle(spark)
     classes = connected_components(links)
     named = nodes.select("node", "first").join(classes, "node", "left").select("node", "first", F.coalesce("component", "node").alias("class"))
     smallest = named.groupBy("class").agg(F.min("first").alias("group_id"))
     named = checkpoint(named.join(regrouped(smallest, "class"), "class").select("node", "group_id"))
     for done in (links, nodes):
         release(done)
+    settle(spark)
     return rows.join(named, "node").select("doc_id", "group_id")
 
 
@@ -391,6 +394,7 @@ def _candidates(narrow: DataFrame, words: int, similarity: float, counts) -> tup
     stars = keyed.repartition("key").sortWithinPartitions("key", "range", "node").mapInArrow(tidy(_stars), "a bigint, b bigint, range int, below boolean")
     stars = checkpoint(stars.distinct())
     release(sketch)
+    settle(spark)
     both = F.array("range", F.col("range") - 1)
     within = lambda node: F.xxhash64(node, "range")
     by_key = stars.select("a", "b", F.explode(F.when(F.col("below"), both).otherwise(F.array("range"))).alias("range"))

@@ -106,6 +106,7 @@ def test_near_duplicates_leave_little_on_disk(spark):
     """Shuffle files go with the checkpoint that they were for, checkpoints with the last step that reads them."""
     rows = [(k, " ".join(f"w{k // 3}x{j}" for j in range(60)) + f" end{k % 3}") for k in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
+    common.settle(spark)
     shuffles, folders = shuffles_and_checkpoints(spark)
     result = simhash.near_duplicates(docs)
     after, left = shuffles_and_checkpoints(spark)
@@ -113,6 +114,14 @@ def test_near_duplicates_leave_little_on_disk(spark):
     assert {(r.doc_id, r.group_id) for r in result.collect()} == {(k, k - k % 3) for k in range(30)}
 
 
+def test_near_duplicates_give_the_drivers_memory_back(spark, monkeypatch):
+    calls = []
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "settle", lambda session, name=module.__name__: (calls.append(name), common.settle(session)))
+    assert linked(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, "z")]) == {(1, 1), (2, 1), (3, 3)}
+    assert calls.count("gleaner.llm.simhash") >= 4 and "gleaner.llm.components" in calls
+
+
 def test_stars_of_keys():
     """Nodes that share a key in like ranges are linked, whatever the batches; a key of all nodes costs a row a batch."""
     rng = np.random.default_rng(23)
