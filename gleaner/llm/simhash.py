@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import as_bytes, batch_of, checkpoint, give_back, in_blocks, in_pieces, regrouped, release, settle, signed, tidy, whole_text
+from gleaner.llm.common import as_bytes, batch_of, checkpoint, give_back, in_blocks, in_few, in_pieces, regrouped, release, settle, signed, tidy, whole_text
 from gleaner.llm.components import connected_components
 from gleaner.llm.hamming import RADIUS, hamming_links
 
@@ -75,12 +75,13 @@ def fingerprint_components(docs: DataFrame, words: int = WORDS, radius: int = RA
     never is the smallest, unless all ids of a component are null.  An empty table gives no rows.
     """
     prints = checkpoint(fingerprints(docs, words))
-    nodes = checkpoint(prints.groupBy("print").agg(F.min("doc_id").alias("first")).select("print", "first", F.col("print").alias("id")))
+    nodes = prints.groupBy("print").agg(F.min("doc_id").alias("first")).select("print", "first", F.col("print").alias("id"))
+    nodes = checkpoint(in_few(nodes, prints.count()))
     links = hamming_links(nodes.select("id", "print"), radius)
-    classes = connected_components(links)
+    classes = connected_components(links, rows=links.count())
     named = nodes.join(classes, nodes["id"] == classes["node"], "left").select("print", "first", F.coalesce("component", "id").alias("class"))
     smallest = named.groupBy("class").agg(F.min("first").alias("component_id"))
-    named = checkpoint(named.join(regrouped(smallest, "class"), "class").select("print", "component_id"))
+    named = checkpoint(in_few(named.join(regrouped(smallest, "class"), "class").select("print", "component_id"), nodes.count()))
     out = prints.join(named, "print")
     return out.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 

@@ -40,6 +40,30 @@ def test_fingerprints(docs):
     assert counted(simhash.fingerprint_components(docs.limit(0)), docs.limit(0)) == []
 
 
+def test_fingerprints_keep_few_rows_in_few_files(spark, monkeypatch):
+    """Where Spark doesn't join small partitions: a file for each of them would cost a task, and executors fork for files."""
+    texts = ["a b c d e", "a b c d f", *(f"w{k} v{k} u{k} t{k}" for k in range(30)), *(" ".join([*(f"n{j}" for j in range(300)), f"end{k}"]) for k in range(8)), "a b c d e"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(2)
+    files = []
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "checkpoint", lambda df: (out := common.checkpoint(df), files.append(out._jdf.queryExecution().toRdd().getNumPartitions()))[0])
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 64)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        by = {r.doc_id: r for r in simhash.fingerprint_components(docs).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(files) >= 6 and max(files) <= common.FEW_FILES
+    x = [int(by[k].fingerprint, 16) for k in range(len(texts))]
+    label = list(range(len(x)))
+    for _ in x:
+        label = [min(label[j] for j in range(len(x)) if (x[i] ^ x[j]).bit_count() <= 3) for i in range(len(x))]
+    assert [by[k].component_id for k in range(len(x))] == label and label[-1] == 0
+    assert any(x[i] != x[label[i]] for i in range(len(x)))  # so there were rounds of components
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     words = [f"w{k}" for k in range(300)]
